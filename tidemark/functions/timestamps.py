@@ -92,7 +92,7 @@ def with_instant(df: DataFrame, text: str, zone: str | None, order: str | None,
 
     df = df.withColumn(p, F.split(F.regexp_replace(source, PATTERN, _OUT), "\u0001"))
     named = F.lower(F.substring(part("name"), 1, 3))
-    month_of_name = F.coalesce(*[F.when(named == m, F.lit(k)) for k, m in enumerate(MONTHS, 1)])
+    month_of_name = F.when(named != "", ((F.instr(F.lit("".join(MONTHS)), named) + 2) / 3).cast("int"))
     day_first = (part("sep") == ".") | (order_value == "DMY")
     first, second = number(part("first")), number(part("second"))
     half = F.lower(F.substring(part("half"), 1, 1))
@@ -122,7 +122,7 @@ def with_instant(df: DataFrame, text: str, zone: str | None, order: str | None,
     of = lambda name: F.col(f"{c}.{name}")
     exists = of("m").between(1, 12) & (of("y") >= 1) & (of("d") >= 1) & (of("d") <= _month_length(of("y"), of("m"))) & of("h").between(0, 23) & of("i").between(0, 59) & of("s").between(0, 59)
     wall = days_from_civil(of("y"), of("m"), of("d")) * F.lit(86_400_000) + (of("h") * 3_600_000 + of("i") * 60_000 + of("s") * 1000 + of("f")).cast("long")
-    fixed = F.coalesce(*[F.when(F.upper(of("z")).isin(*[k for k, v in ABBREVIATIONS.items() if v == minutes]), F.lit(minutes)) for minutes in sorted(set(ABBREVIATIONS.values()))])
+    fixed = F.element_at(F.create_map(*[F.lit(x) for pair in ABBREVIATIONS.items() for x in pair]), F.upper(of("z")))
     rule = F.when(of("z") == "", zone_value).otherwise(of("z"))
     whole = F.length(F.regexp_replace(F.regexp_replace(of("e"), r"\..*$", ""), "[^0-9]", ""))
     epoch = F.when(whole.between(9, 11), F.floor(of("e").try_cast("decimal(28,9)") * 1000)).when(whole.between(12, 14), F.floor(of("e").try_cast("decimal(28,9)")))
@@ -130,4 +130,6 @@ def with_instant(df: DataFrame, text: str, zone: str | None, order: str | None,
     wall = F.col(f"{prefix}w")
     ruled = F.when(rule.isin(zones), F.unix_millis(F.to_utc_timestamp(F.timestamp_millis(wall), rule)))
     instant = F.when(of("e") != "", epoch.cast("long")).when(of("o").isNotNull(), F.when(F.abs(of("o")) <= 1080, wall - of("o") * 60_000)).when((of("z") != "") & fixed.isNotNull(), wall - fixed * 60_000).otherwise(ruled)
-    return df.withColumn(out, instant.cast("long")).drop(p, c, f"{prefix}w")
+    # One generated row each: a filter on the result must not be pushed below, where it would repeat the whole expression.
+    kept = [f"`{x}`" for x in df.columns if x not in (p, c, f"{prefix}w", out)]
+    return df.select(*kept, F.explode(F.array(instant.cast("long"))).alias(out))
