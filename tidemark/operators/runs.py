@@ -16,6 +16,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.session import cut
+
 _SCHEMA = "key string, lo bigint, hi bigint, n bigint, prev_hi bigint, edge boolean, part int, place int"
 _ARROW = pa.schema([("key", pa.string()), ("lo", pa.int64()), ("hi", pa.int64()), ("n", pa.int64()), ("prev_hi", pa.int64()), ("edge", pa.bool_()), ("part", pa.int32()), ("place", pa.int32())])
 
@@ -97,6 +99,7 @@ def coalesce_runs(df: DataFrame, max_gap: int, partitions: int | None = None) ->
     """
     rows = df.select(F.col("key").cast("string"), F.col("lo").cast("bigint"), F.col("hi").cast("bigint"), F.col("n").cast("bigint")).where("key is not null and lo is not null and hi is not null")
     placed = rows.repartitionByRange(partitions, "key", "lo") if partitions else rows.repartitionByRange("key", "lo")
-    pieces = placed.sortWithinPartitions("key", "lo", "hi").mapInArrow(_scanner(max_gap), _SCHEMA)
+    # The runs are few beside the rows; written once, they are read twice, and what made them does not run again.
+    pieces = cut(placed.sortWithinPartitions("key", "lo", "hi").mapInArrow(_scanner(max_gap), _SCHEMA))
     edges = pieces.where("edge").repartition(1).sortWithinPartitions("key", "lo", "part", "place").mapInArrow(_joiner(max_gap), "key string, lo bigint, hi bigint, n bigint, prev_hi bigint")
     return pieces.where("not edge").select("key", "lo", "hi", "n", "prev_hi").unionAll(edges)
