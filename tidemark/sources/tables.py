@@ -31,7 +31,7 @@ def read_jdbc(spark: SparkSession, url: str, table: str, key: str, low: int, hig
 
 def write_csv(df: DataFrame, path: str, single: bool = False) -> None:
     """With a header line; ``single`` writes one file, for small results only."""
-    (df.coalesce(1) if single else df).write.mode("overwrite").option("header", True).csv(path)
+    (df.coalesce(1) if single else df).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
 def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
