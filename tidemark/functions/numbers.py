@@ -12,6 +12,7 @@ def amount(text: Column) -> Column:
     Both '1,234.50' and '1 234,50' are read; a comma before exactly two final digits is a decimal comma unless a dot follows.
     Null for null, empty and other texts, among them such without digits.
     """
-    bare = F.regexp_replace(F.upper(text), r"[\s\p{Z}]|ZAR|R|\$|€|£", "")
-    dotted = F.when(F.rlike(bare, F.lit(r"^-?[0-9]+(\.[0-9]{3})*,[0-9]{1,2}$")), F.regexp_replace(F.regexp_replace(bare, r"\.", ""), ",", ".")).otherwise(F.regexp_replace(bare, ",", ""))
+    bare = F.translate(F.replace(F.upper(text), F.lit("ZAR"), F.lit("")), "R$€£ \t\r\n\u00a0\u2009\u202f", "")
+    decimal_comma = F.rlike(bare, F.lit(r"^-?[0-9]+(\.[0-9]{3})*,[0-9]{1,2}$"))
+    dotted = F.when(~F.contains(bare, F.lit(",")), bare).when(decimal_comma, F.translate(bare, ",.", ".")).otherwise(F.translate(bare, ",", ""))
     return F.when(F.rlike(dotted, F.lit(r"^-?[0-9]+(\.[0-9]+)?$")), dotted.try_cast("double"))
