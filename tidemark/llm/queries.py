@@ -24,7 +24,8 @@ SHARES = (0.05, 0.25, 0.5, 0.75, 0.95)
 
 def p1_scrapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sketches of prices by month of scrape, neighbourhood and room type: what is kept of a scrape to be combined later."""
-    priced = load(spark, sf_dir, "listings").select(*AREA, F.date_format("last_scraped", "yyyy-MM").alias("scrape"), amount(F.col("price")).alias("amount")).where("amount > 0")
+    # One generated row each, so that the filter does not parse the price a second time.
+    priced = load(spark, sf_dir, "listings").select(*AREA, F.date_format("last_scraped", "yyyy-MM").alias("scrape"), F.explode(F.array(amount(F.col("price")))).alias("amount")).where("amount > 0")
     return log_sketch(priced, ["scrape", *AREA], "amount")
 
 
