@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from tidemark.functions import dates, text
@@ -44,6 +46,18 @@ def test_top_bottom_and_ties(spark):
     assert rel.best_of_group(df.withColumn("g", F.lit("x")), ["g"], "v", "k").first().k == 3
 
 
+def test_previous_across_stretches(spark):
+    rnd = random.Random(9)
+    rows = [(k, rnd.choice(["hot", "hot", "b", None]), rnd.choice([None, *(f"2024-01-{rnd.randrange(1, 9):02d} {rnd.randrange(24):02d}:00:00" for _ in range(9))])) for k in range(300)]
+    rows = [r for r in rows if r[2]]
+    df = spark.createDataFrame(rows, "k int, u string, t string").withColumn("t", F.to_timestamp("t"))
+    got = {r.k: r.before for r in rel.with_previous(df, "u", "t", "k", F.col("k"), "before").collect()}
+    want, last = {}, {}
+    for k, u, t in sorted(rows, key=lambda r: (str(r[1]), r[2], r[0])):
+        want[k], last[u] = last.get(u), k
+    assert got == want
+
+
 def test_sample_is_exact_and_stable(spark):
     df = spark.range(1000).repartition(7)
     a = {r.id for r in rel.hash_sample(df, ["id"], 100).collect()}

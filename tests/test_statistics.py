@@ -41,6 +41,31 @@ def test_nan_counts_as_null(spark):
     assert st.describe(df.limit(0), ["v"]).first()["count"] == 0
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_exact_quantiles_like_pandas(spark, seed):
+    rnd = random.Random(seed)
+    values = [lambda: float(rnd.randrange(5)), lambda: rnd.gauss(0, 1e-3), lambda: -rnd.lognormvariate(5, 4), lambda: 0.0, lambda: rnd.uniform(4.5, 5)]
+    rows = [(rnd.choice(["a", "b", None]), rnd.choice("xy"), rnd.choice([rnd.choice(values)(), rnd.choice(values)(), None, float("nan")])) for _ in range(700)] + [("solo", "x", 3.0), ("none", "x", None)]
+    frame = pd.DataFrame(rows, columns=["g", "h", "v"])
+    df = spark.createDataFrame(rows, "g string, h string, v double")
+    shares = {"p0": 0.0, "p10": 0.1, "p50": 0.5, "p999": 0.999, "p100": 1.0}
+    got = {(r.g, r.h): r for r in st.exact_quantiles(df, ["g", "h"], F.col("v"), shares).collect()}
+    want = frame.dropna().groupby(["g", "h"]).v.quantile(list(shares.values())).unstack()
+    assert got.keys() == set(want.index)
+    for key, r in got.items():
+        assert [r[n] for n in shares] == pytest.approx(list(want.loc[key]), rel=1e-12, abs=1e-15)
+    overall = st.exact_quantiles(df, [], F.col("v"), shares).first()
+    assert [overall[n] for n in shares] == pytest.approx([frame.v.quantile(q) for q in shares.values()], rel=1e-12)
+
+
+def test_quantiles_at_the_ends(spark):
+    df = spark.createDataFrame([(float("inf"),), (float("-inf"),), (1.0,), (5e-324,)], "v double")
+    row = st.exact_quantiles(df, [], F.col("v"), {"a": 0.0, "b": 1.0, "c": 1 / 3}).first()
+    assert (row.a, row.b, row.c) == (float("-inf"), float("inf"), 5e-324)
+    assert st.exact_quantiles(df.limit(0), [], F.col("v"), {"a": 0.5}).first().a is None
+    assert st.exact_quantiles(df.limit(0).withColumn("k", F.lit(1)), ["k"], F.col("v"), {"a": 0.5}).count() == 0
+
+
 def test_histogram_holds_all_values(spark, sample):
     got = {r.bin: r.n for r in st.histogram(spark.createDataFrame(sample), "v", 10).collect()}
     want, _ = np.histogram(sample.v, 10)

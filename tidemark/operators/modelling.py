@@ -12,14 +12,16 @@ from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearReg
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.statistics import regression_metrics
+from tidemark.operators.statistics import exact_quantiles, regression_metrics
 
 
 def impute_and_scale(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Nulls replaced by the exact median, then centred and divided by the population deviation, one pass each."""
+    """Nulls replaced by the exact median, then centred and divided by the population deviation."""
     x = lambda c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double"))
-    medians = df.agg(*[F.median(x(c)).alias(f"_med_{c}") for c in columns])
-    filled = df.crossJoin(F.broadcast(medians)).withColumns({c: F.coalesce(x(c), F.col(f"_med_{c}")) for c in columns}).drop(*[f"_med_{c}" for c in columns])
+    filled = df
+    for c in columns:
+        filled = filled.crossJoin(F.broadcast(exact_quantiles(df, [], x(c), {f"_med_{c}": 0.5})))
+    filled = filled.withColumns({c: F.coalesce(x(c), F.col(f"_med_{c}")) for c in columns}).drop(*[f"_med_{c}" for c in columns])
     moments = filled.agg(*[F.avg(c).alias(f"_avg_{c}") for c in columns], *[F.stddev_pop(c).alias(f"_sd_{c}") for c in columns])
     scaled = {c: F.when(F.col(f"_sd_{c}") > 0, (F.col(c) - F.col(f"_avg_{c}")) / F.col(f"_sd_{c}")).otherwise(0.0) for c in columns}
     return filled.crossJoin(F.broadcast(moments)).withColumns(scaled).drop(*[f"_{k}_{c}" for c in columns for k in ("avg", "sd")])

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.statistics import exact_quantiles
+
 
 def _col(name: str) -> Column:
     return F.col(f"`{name}`")
@@ -58,21 +60,16 @@ def drop_incomplete(df: DataFrame, columns: Sequence[str] | None = None) -> Data
 
 def with_group_median(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
     """Each row with the exact median of its group; rows with a null key get null. Spark broadcasts the medians while small."""
-    known = reduce(Column.__and__, [_col(k).isNotNull() for k in keys])
-    medians = df.where(known).groupBy(*keys).agg(F.median(value).alias(out))
-    return df.join(medians, list(keys), "left")
+    return df.join(exact_quantiles(df, keys, _col(value), {out: 0.5}), list(keys), "left")
 
 
 def fill_by_lookup(df: DataFrame, source: DataFrame, levels: Sequence[Sequence[str]], value: str, out: str) -> DataFrame:
     """A value looked up in ever wider groups of ``source``: the median of the first level that has one, at last of all rows."""
     candidates = []
     for depth, keys in enumerate(levels):
-        known = reduce(Column.__and__, [_col(k).isNotNull() for k in keys])
-        table = source.where(known).groupBy(*keys).agg(F.median(value).alias(f"_level{depth}"))
-        df = df.join(table, list(keys), "left")
+        df = df.join(exact_quantiles(source, keys, _col(value), {f"_level{depth}": 0.5}), list(keys), "left")
         candidates.append(F.col(f"_level{depth}"))
-    overall = source.agg(F.median(value).alias("_overall"))
-    df = df.crossJoin(F.broadcast(overall)).withColumn(out, F.coalesce(*candidates, F.col("_overall")))
+    df = df.crossJoin(F.broadcast(exact_quantiles(source, [], _col(value), {"_overall": 0.5}))).withColumn(out, F.coalesce(*candidates, F.col("_overall")))
     return df.drop(*[f"_level{d}" for d in range(len(levels))], "_overall")
 
 
@@ -106,11 +103,28 @@ def value_grid(low: Column, high: Column, step: float) -> Column:
 def rank_with_ties(df: DataFrame, value: str, keep: int) -> DataFrame:
     """Rows of rank 1 to ``keep`` by value, all rows that tie with the last one included.
 
-    The value of the row at place ``keep`` is found first by a distributed top-k, so that no task sorts all rows.
+    The value at place ``keep`` is found first by a distributed top-k; ranks are then counted over distinct values, of which
+    at most ``keep`` are left, so that no task sorts all rows however many tie.
     """
     bound = df.where(_col(value).isNotNull()).orderBy(F.desc(value)).limit(keep).agg(F.min(value).alias("_bound"))
     held = df.crossJoin(F.broadcast(bound)).where(_col(value) >= F.col("_bound")).drop("_bound")
-    return held.withColumn("rank", F.rank().over(Window.orderBy(F.desc(value))))
+    counts = held.groupBy(_col(value).alias("_value")).agg(F.count(F.lit(1)).alias("_m"))
+    ranks = counts.select("_value", (F.sum("_m").over(Window.orderBy(F.desc("_value"))) - F.col("_m") + 1).cast("int").alias("rank"))
+    return held.join(F.broadcast(ranks), _col(value) == F.col("_value")).drop("_value")
+
+
+def with_previous(df: DataFrame, key: str, time: str, tie: str, value: Column, out: str, width: str = "1 day") -> DataFrame:
+    """Each row with ``value`` of the key's row before it, in order of time and tie; null for its first row.
+
+    Rows are ordered within stretches of time, so that a key with a third of all rows fills many tasks; the first row of a
+    stretch takes the last value of the key's stretch before, from a table with one row for each key and stretch.
+    """
+    rows = df.withColumn("_stretch", F.window(_col(time), width)["start"]).withColumn("_value", F.struct(value.alias("v")))
+    last = rows.groupBy(_col(key).alias("_key"), F.col("_stretch").alias("_s")).agg(F.max_by("_value", F.struct(_col(time), _col(tie))).alias("_last"))
+    before = last.withColumn("_before", F.lag("_last").over(Window.partitionBy("_key").orderBy("_s"))).drop("_last")
+    here = F.lag("_value").over(Window.partitionBy(_col(key), "_stretch").orderBy(_col(time), _col(tie)))
+    joined = rows.withColumn("_here", here).join(before, _col(key).eqNullSafe(F.col("_key")) & F.col("_stretch").eqNullSafe(F.col("_s")), "left")
+    return joined.withColumn(out, F.coalesce("_here", "_before")["v"]).drop("_stretch", "_value", "_key", "_s", "_before", "_here")
 
 
 def zscore(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:

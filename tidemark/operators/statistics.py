@@ -1,17 +1,20 @@
 """Descriptive and inferential statistics as aggregations.
 
-Quantiles are exact with linear interpolation. NaN counts as null. Rank tests count equal values first, so that ranks come from
+Quantiles are exact with linear interpolation, by counts in narrow buckets and a closer look at the few buckets that hold the
+ranks sought; no task holds the values of a group. NaN counts as null. Rank tests count equal values first, so that ranks come from
 a table of distinct values and never from a window over all rows.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.distributions import chi2_tail, t_tail
+from tidemark.session import cut
 
 
 def _number(name: str) -> Column:
@@ -25,14 +28,47 @@ def adjusted_skew(column: Column) -> Column:
     return F.when(n > 2, F.skewness(column) * F.sqrt(n * (n - 1.0)) / (n - 2.0))
 
 
+def exact_quantiles(df: DataFrame, keys: Sequence[str], value: Column, shares: dict[str, float], error: float = 0.001) -> DataFrame:
+    """Exact quantiles with linear interpolation: the keys and one column for each named share.
+
+    Values are counted in signed logarithmic buckets first; the counts say in which bucket each rank lies and how many values
+    are below it. Only values of these buckets are then counted one by one. Groups with a null key and null or NaN values are
+    left out; groups without values have no row (without keys: one row of nulls, if the table is empty).
+    """
+    base = math.log((1 + error) / (1 - error))
+    x, far = F.col("_v"), 2_000_000
+    infinite = F.abs(x) == float("inf")
+    size = F.when(infinite, 2 * far).otherwise(F.ceil(F.log(F.abs(x)) / base) + far).cast("int")
+    bucket = F.when(x > 0, size).when(x < 0, -size).otherwise(0)
+    number = value.cast("double")
+    kept = [F.col(f"`{k}`") for k in keys]
+    rows = df.select(*kept, F.when(~F.isnan(number), number).alias("_v")).where("_v is not null").na.drop(subset=list(keys)) if keys else df.select(F.when(~F.isnan(number), number).alias("_v")).where("_v is not null")
+    rows = rows.withColumn("_b", bucket)
+    counts = rows.groupBy(*kept, "_b").agg(F.count(F.lit(1)).alias("_m"))
+    up_to = Window.partitionBy(*kept).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
+    placed = counts.withColumn("_below", F.sum("_m").over(up_to) - F.col("_m")).withColumn("_n", F.sum("_m").over(Window.partitionBy(*kept)))
+    at = lambda q: F.lit(float(q)) * (F.col("_n") - 1)
+    ranks = [F.struct(F.lit(f"{name} {side}").alias("_j"), rounding(at(q)).cast("bigint").alias("_rank")) for name, q in shares.items() for side, rounding in (("low", F.floor), ("high", F.ceil))]
+    sought = placed.select(*kept, "_b", "_below", "_n", "_m", F.inline(F.array(*ranks))).where("_rank >= _below and _rank < _below + _m").drop("_m")
+    on = [*keys, "_b"]
+    near = rows.join(sought.select(*on).distinct(), on, "left_semi").groupBy(*kept, "_b", "_v").agg(F.count(F.lit(1)).alias("_m"))
+    run = F.sum("_m").over(Window.partitionBy(*kept, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+    found = near.withColumn("_run", run).join(sought, on).where((F.col("_rank") < F.col("_below") + F.col("_run")) & (F.col("_rank") >= F.col("_below") + F.col("_run") - F.col("_m")))
+    pick = lambda name, side: F.max(F.when(F.col("_j") == f"{name} {side}", F.col("_v")))
+    out = found.groupBy(*kept).agg(F.max("_n").alias("_n"), *[pick(n, s).alias(f"_{n} {s}") for n in shares for s in ("low", "high")])
+    low, high = (lambda n: F.col(f"`_{n} low`")), (lambda n: F.col(f"`_{n} high`"))
+    part = lambda q: at(q) - F.floor(at(q))
+    return out.select(*kept, *[F.when(low(n) == high(n), low(n)).otherwise(low(n) + (high(n) - low(n)) * part(q)).alias(n) for n, q in shares.items()])
+
+
 def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """column_name, count, mean, std, min, p25, p50, p75, max, skew of each column."""
     frames = []
     for name in columns:
         x = _number(name)
-        q = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-        row = df.agg(F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), q.alias("q"), F.max(x).alias("max"), adjusted_skew(x).alias("skew"))
-        frames.append(row.select(F.lit(name).alias("column_name"), "count", "mean", "std", "min", *[F.col("q")[k].alias(a) for k, a in enumerate(("p25", "p50", "p75"))], "max", "skew"))
+        q = exact_quantiles(df, [], x, {"p25": 0.25, "p50": 0.5, "p75": 0.75})
+        row = df.agg(F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"), adjusted_skew(x).alias("skew"))
+        frames.append(row.crossJoin(F.broadcast(q)).select(F.lit(name).alias("column_name"), "count", "mean", "std", "min", "p25", "p50", "p75", "max", "skew"))
     out = frames[0]
     for f in frames[1:]:
         out = out.unionAll(f)
@@ -41,7 +77,7 @@ def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def fences(df: DataFrame, column: str, factor: float = 1.5) -> DataFrame:
     """One row: q1, q3 and the fences factor interquartile ranges beyond them."""
-    q = df.agg(F.percentile(_number(column), F.array(F.lit(0.25), F.lit(0.75))).alias("q")).select(F.col("q")[0].alias("q1"), F.col("q")[1].alias("q3"))
+    q = exact_quantiles(df, [], _number(column), {"q1": 0.25, "q3": 0.75})
     spread = F.col("q3") - F.col("q1")
     return q.select("q1", "q3", (F.col("q1") - factor * spread).alias("low"), (F.col("q3") + factor * spread).alias("high"))
 
@@ -69,11 +105,10 @@ def histogram(df: DataFrame, column: str, bins: int = 40) -> DataFrame:
 def boxplot(df: DataFrame, key: str, column: str, factor: float = 1.5) -> DataFrame:
     """key, q1, median, q3, whisker_low, whisker_high, fliers of each group; null keys are left out."""
     rows = df.where(F.col(key).isNotNull()).select(key, _number(column).alias("_x")).where("_x is not null")
-    q = rows.groupBy(key).agg(F.percentile("_x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_q"))
-    joined = rows.join(q, key)
-    spread = F.col("_q")[2] - F.col("_q")[0]
-    inside = F.col("_x").between(F.col("_q")[0] - factor * spread, F.col("_q")[2] + factor * spread)
-    picks = [F.first(F.col("_q")[k]).alias(a) for k, a in enumerate(("q1", "median", "q3"))]
+    joined = rows.join(exact_quantiles(rows, [key], F.col("_x"), {"q1": 0.25, "median": 0.5, "q3": 0.75}), key)
+    spread = F.col("q3") - F.col("q1")
+    inside = F.col("_x").between(F.col("q1") - factor * spread, F.col("q3") + factor * spread)
+    picks = [F.first(c).alias(c) for c in ("q1", "median", "q3")]
     return joined.groupBy(key).agg(*picks, F.min(F.when(inside, F.col("_x"))).alias("whisker_low"), F.max(F.when(inside, F.col("_x"))).alias("whisker_high"), F.count(F.when(~inside, True)).alias("fliers"))
 
 
@@ -84,8 +119,6 @@ def _value_ranks(df: DataFrame, value: Column) -> DataFrame:
     """
     counts = df.select(value.alias("_v")).where("_v is not null").groupBy("_v").agg(F.count(F.lit(1)).alias("_n"))
     placed = counts.repartitionByRange("_v").withColumn("_part", F.spark_partition_id())
-    from tidemark.session import cut
-
     placed = cut(placed)
     sums = placed.groupBy("_part").agg(F.sum("_n").alias("_s"))
     before = sums.select(F.col("_part"), (F.sum("_s").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_s")).alias("_before"))

@@ -34,9 +34,7 @@ def named_summary(spark, d):
 
 
 def quantiles_by_group(spark, d):
-    q = F.percentile("l_extendedprice", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)))
-    grouped = load(spark, d, "lineitem").groupBy("l_returnflag").agg(q.alias("q"))
-    return _rounded(grouped.select("l_returnflag", *[F.col("q")[k].alias(n) for k, n in enumerate(("p10", "p50", "p90"))]), 4)
+    return _rounded(st.exact_quantiles(load(spark, d, "lineitem"), ["l_returnflag"], F.col("l_extendedprice"), {"p10": 0.1, "p50": 0.5, "p90": 0.9}), 4)
 
 
 def within_fences(spark, d):
@@ -115,8 +113,8 @@ def alert_metrics(spark, d):
 
 
 def tails(spark, d):
-    limits = load(spark, d, "customer").agg(F.percentile("c_acctbal", F.array(F.lit(0.05), F.lit(0.95))).alias("q"))
-    tail = F.when(F.col("c_acctbal") <= F.col("q")[0], "low").when(F.col("c_acctbal") >= F.col("q")[1], "high")
+    limits = st.exact_quantiles(load(spark, d, "customer"), [], F.col("c_acctbal"), {"low": 0.05, "high": 0.95})
+    tail = F.when(F.col("c_acctbal") <= F.col("low"), "low").when(F.col("c_acctbal") >= F.col("high"), "high")
     return load(spark, d, "customer").crossJoin(F.broadcast(limits)).select("c_custkey", tail.alias("tail")).where("tail is not null")
 
 

@@ -80,9 +80,9 @@ def row_audit(spark, d):
 
 
 def _gaps(spark, d):
-    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    minutes = dates.minutes_between(F.lag("ts").over(order), F.col("ts"))
-    return load(spark, d, "events").select("event_id", "user_id", rel.mask_range(minutes, 0, 240).alias("gap"))
+    events = rel.with_previous(load(spark, d, "events"), "user_id", "ts", "event_id", F.col("ts"), "before")
+    minutes = dates.minutes_between(F.col("before"), F.col("ts"))
+    return events.select("event_id", "user_id", rel.mask_range(minutes, 0, 240).alias("gap"))
 
 
 def gap_minutes(spark, d):
