@@ -46,9 +46,9 @@ def p7_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
     rating, bedrooms = observed_rating(), observed_bedrooms()
     common = {"accommodates": F.col("accommodates"), "reviews": F.log1p(F.col("number_of_reviews")), "nights": F.col("minimum_nights"), "superhost": (F.col("host_is_superhost") == "t").cast("int")}
     groups = ["room_type", "neighbourhood_cleansed"]
-    of_rating = impute_pmm(listings, "row_id", rating, "id", "last_scraped", groups, common | {"bedrooms": bedrooms})
-    of_bedrooms = impute_pmm(listings, "row_id", bedrooms, "id", "last_scraped", groups, common | {"rating": rating})
-    both = [x.where("how is null or how <> 'observed'").select("row_id", F.lit(field).alias("field"), "value", "filled", F.col("donor_id").alias("donor_row_id"), "how") for x, field in ((of_rating, "review_scores_rating"), (of_bedrooms, "bedrooms"))]
+    of_rating = impute_pmm(listings, "row_id", rating, "id", "last_scraped", groups, common | {"bedrooms": bedrooms}, keep_observed=False)
+    of_bedrooms = impute_pmm(listings, "row_id", bedrooms, "id", "last_scraped", groups, common | {"rating": rating}, keep_observed=False)
+    both = [x.select("row_id", F.lit(field).alias("field"), "value", "filled", F.col("donor_id").alias("donor_row_id"), "how") for x, field in ((of_rating, "review_scores_rating"), (of_bedrooms, "bedrooms"))]
     return both[0].unionAll(both[1])
 
 
