@@ -120,4 +120,8 @@ ORACLE = {
             FROM keyed LEFT JOIN feeds USING (feed_id) WHERE k <> ''),
         ranked AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY grade DESC, rank, loaded_at DESC, row_id) AS place FROM graded WHERE rows_of > 1)
         SELECT k AS visit_id, row_id FROM ranked WHERE place = 1 AND grade > 0""",
+    "p9_found": r"""WITH texts AS (SELECT 'd' AS side, doc_id AS id, text FROM documents UNION ALL SELECT 'b', item_id, text FROM benchmark),
+        split AS (SELECT side, id, regexp_extract_all(lower(strip_accents(regexp_replace(text, '[\p{Cf}\p{M}]', '', 'g'))), '[\p{L}\p{N}]+') AS w FROM texts WHERE text IS NOT NULL),
+        grams AS (SELECT DISTINCT side, id, gram FROM (SELECT side, id, unnest(list_transform(generate_series(1, len(w) - 9), lambda i: array_to_string(w[i:i + 9], ' '))) AS gram FROM split WHERE len(w) >= 10))
+        SELECT DISTINCT d.id AS doc_id, b.id AS item_id FROM grams d JOIN grams b USING (gram) WHERE d.side = 'd' AND b.side = 'b'""",
 }
