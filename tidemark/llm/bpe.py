@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.batches import by_size
+
 # Fixed value: the public pattern that splits a text into words before byte-level BPE.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words a worker remembers; beyond it starts anew (only speed depends on it).
@@ -99,7 +101,7 @@ def _mapper(vocabulary):
 
         encoder, known = _encoder(vocabulary.value)
         split = regex.compile(SPLIT).findall
-        for batch in batches:
+        for batch in by_size(batches, 1):
             words_of = [split(t) if t else () for t in batch.column(1).to_pylist()]
             new = {w for words in words_of for w in words if w not in known}
             if len(known) + len(new) > REMEMBERED:

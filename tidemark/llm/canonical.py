@@ -203,8 +203,8 @@ def _resolver(reference):
 def map_values(values: DataFrame, row_id: str, field: str, value: str, reference: DataFrame, ref_field: str, ref_value: str, ref_code: str | None = None) -> DataFrame:
     """Typed values and what they mean: row_id, field, canonical ('UNMATCHED' if no entry is meant).
 
-    One row for each row of ``values`` whose value is neither null nor blank nor exactly an entry of its field. Values of a
-    field that ``reference`` does not know are unmatched. Values that fit several entries equally well are unmatched. Rows that
+    One row for each row of ``values`` whose field is not null and whose value is neither null nor blank nor exactly an entry of
+    its field. Values of a field that ``reference`` does not know are unmatched. Values that fit several entries equally well are unmatched. Rows that
     repeat give equal results; empty tables give no rows. ``reference`` may have ``MOST_ENTRIES`` rows; more raise an error.
     """
     entries = reference.select(F.col(f"`{ref_field}`").cast("string"), F.col(f"`{ref_value}`").cast("string"), (F.col(f"`{ref_code}`") if ref_code else F.lit(None)).cast("string")).where(F.col(f"`{ref_value}`").isNotNull() & F.col(f"`{ref_field}`").isNotNull())
@@ -215,10 +215,9 @@ def map_values(values: DataFrame, row_id: str, field: str, value: str, reference
     for name, entry, code in rows:
         lists.setdefault(name, {}).setdefault(entry, []).extend([code] if code else [])
     typed = values.select(F.col(f"`{row_id}`").alias("_id"), F.col(f"`{field}`").cast("string").alias("_field"), F.col(f"`{value}`").cast("string").alias("_value"))
-    exact = [F.struct(F.lit(name).alias("f"), F.lit(entry).alias("v")) for name, found in lists.items() for entry in found]
     typed = typed.where(F.regexp_replace("_value", r"[\s\p{Z}]+", "") != "")
-    if exact:
-        typed = typed.where(~F.coalesce(F.struct(F.col("_field").alias("f"), F.col("_value").alias("v")).isin(exact), F.lit(False)))
+    exact = entries.toDF("_field", "_value", "_code").select("_field", "_value")
+    typed = typed.join(F.broadcast(exact), ["_field", "_value"], "left_anti")
     shared = values.sparkSession.sparkContext.broadcast({name: sorted(found.items()) for name, found in lists.items()})
     distinct = typed.select("_field", "_value").distinct()
     resolved = distinct.mapInPandas(_resolver(shared), "_field string, _value string, _canonical string")

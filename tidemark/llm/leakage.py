@@ -18,6 +18,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.batches import by_size
+
 #: Characters of item texts that are sent to the executors at once; more items are taken in further passes.
 BLOCK_CHARS = 20_000_000
 _DROPPED = regex.compile(r"[\p{M}\p{Cf}]+")
@@ -127,7 +129,7 @@ def near_matches(index: ItemIndex, tokens: np.ndarray, postings: np.ndarray, off
 def _searcher(index, slop: int):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found_in = index.value
-        for batch in batches:
+        for batch in by_size(batches, 1):
             tokens, postings, offsets, starts = shard_postings([words(t) for t in batch.column(1).to_pylist()], found_in.terms, found_in.length + slop)
             window, begin = exact_matches(found_in, tokens, postings, offsets)
             exact = np.ones(len(window), bool)
