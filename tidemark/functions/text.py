@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 # Words of urgency and of a patient's state that notes are searched for.
 URGENCIES = ("ASAP", "Urgent", "Critical", "Action Required", "Follow-up Needed", "Ongoing Assessment", "Monitoring", "Review")
 STATES = ("improving", "stable", "in pain", "weak", "restless", "dizzy", "comfortable")
+# Fixed value: the sentence of a note that names what the nurse did.
+ACTION = r"(?i)The nurse (\w+) the ([^.]+)\."
 
 
 def title_case(text: Column) -> Column:
@@ -44,8 +46,7 @@ def note_status(note: Column) -> Column:
 
 def note_action(note: Column) -> Column:
     """'<verb> the <object>' of a note's sentence on the nurse, 'Unknown' without one."""
-    pattern = r"(?i)The nurse (\w+) the ([^.]+)\."
-    return F.when(F.rlike(note, F.lit(pattern)), F.concat(F.lower(F.regexp_extract(note, pattern, 1)), F.lit(" the "), stripped(F.regexp_extract(note, pattern, 2)))).otherwise("Unknown")
+    return F.when(F.rlike(note, F.lit(ACTION)), F.concat(F.lower(F.regexp_extract(note, ACTION, 1)), F.lit(" the "), stripped(F.regexp_extract(note, ACTION, 2)))).otherwise("Unknown")
 
 
 def contains_any_case(text: Column, term: str) -> Column:

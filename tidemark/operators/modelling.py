@@ -97,11 +97,10 @@ def predict(model: PipelineModel | Model, df: DataFrame, out: str = "predicted")
 
 
 def time_blocks(df: DataFrame, time: str, blocks: int, out: str = "block") -> DataFrame:
-    """Rows in ``blocks`` + 1 consecutive blocks of time, about equal in rows: by a histogram of distinct times, never by a sort of all rows."""
-    per_time = df.groupBy(time).agg(F.count(F.lit(1)).alias("_m"))
-    edges = per_time.agg(F.expr(f"percentile({time}, array({', '.join(f'{k}d / {blocks + 1}d' for k in range(1, blocks + 1))}), _m)").alias("_e"))
-    placed = F.size(F.filter("_e", lambda e: F.col(time) > e))
-    return df.crossJoin(F.broadcast(edges)).withColumn(out, placed).drop("_e")
+    """Rows in ``blocks`` + 1 consecutive blocks of a numeric time, about equal in rows; equal times share a block."""
+    edges = exact_quantiles(df, [], F.col(time), {f"_e{k}": k / (blocks + 1) for k in range(1, blocks + 1)})
+    placed = sum(((F.col(time) > F.col(f"_e{k}")).cast("int") for k in range(1, blocks + 1)), F.lit(0))
+    return df.crossJoin(F.broadcast(edges)).withColumn(out, placed).drop(*edges.columns)
 
 
 def expanding_folds(df: DataFrame, time: str, folds: int = 5) -> list[tuple[DataFrame, DataFrame]]:

@@ -145,7 +145,7 @@ def _model_rows(spark, d):
     rows = lines.join(part, lines.l_partkey == part.p_partkey).select("l_extendedprice", F.col("l_quantity"), F.col("p_size").cast("double").alias("size"), F.col("p_retailprice").alias("retail"), "p_type", F.unix_seconds(F.col("l_shipdate").cast("timestamp")).alias("at"))
     rows = ml.with_log_target(rows, "l_extendedprice")
     prepared = ml.features(["l_quantity", "size", "retail"], ["p_type"]).fit(rows).transform(rows)
-    split = prepared.agg(F.percentile("at", F.lit(0.8)).alias("s")).first()["s"] or 0.0
+    split = st.exact_quantiles(rows, [], F.col("at"), {"s": 0.8}).first()["s"] or 0.0
     return prepared.where(F.col("at") <= split), prepared.where(F.col("at") > split)
 
 

@@ -12,6 +12,7 @@ from tidemark.operators.modelling import pick_best
 from tidemark.operators.statistics import two_level_mean
 from tidemark.session import load
 
+# Spellings, months and formats of the queries.
 PRIORITIES = {"1-URGENT": "Urgent", "2-HIGH": "High", "5-LOW": "Low"}
 REGIMES = {"since_1997": "1997-04", "since_1998": "1998-12", "since_1999": "1999-09", "since_2000": "2000-07"}
 FORMATS = ("yyyy-MM-dd HH:mm:ss", "yyyy/MM/dd HH:mm", "MM/dd/yyyy HH:mm", "MMMM d, yyyy h:mma")
@@ -121,7 +122,7 @@ def inner_join_enrich(spark, d):
 
 
 def group_median_ratio(spark, d):
-    priced = load(spark, d, "listings").select("row_id", "neighbourhood_cleansed", "room_type", "bedrooms", amount(F.col("price")).alias("amount")).where("amount > 0 and bedrooms is not null and not isnan(bedrooms)")
+    priced = load(spark, d, "listings").select("row_id", "neighbourhood_cleansed", "room_type", "bedrooms", F.explode(F.array(amount(F.col("price")))).alias("amount")).where("amount > 0 and bedrooms is not null and not isnan(bedrooms)")
     joined = rel.with_group_median(priced, ["neighbourhood_cleansed", "room_type", "bedrooms"], "amount", "median_amount")
     usual = F.coalesce("median_amount", "amount")
     return joined.select("row_id", F.round(usual, 4).alias("median_amount"), F.round(F.try_divide(F.col("amount"), usual), 6).alias("ratio"))
@@ -170,6 +171,17 @@ def group_shares(spark, d):
     return counts.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("year")), 6))
 
 
+def conditional_rates(spark, d):
+    bought = F.col("event_type") == "purchase"
+    return load(spark, d, "events").groupBy(F.to_date("ts").cast("string").alias("day")).agg(F.count(F.lit(1)).alias("n"), F.count_if(bought).alias("purchases"), F.round(F.count_if(bought) / F.count(F.lit(1)), 6).alias("rate"))
+
+
+def best_and_worst(spark, d):
+    means = load(spark, d, "orders").groupBy("o_custkey", "o_orderpriority").agg(F.round(F.avg("o_totalprice"), 4).alias("mean"))
+    best, worst = F.max_by("o_orderpriority", F.struct("mean", "o_orderpriority")), F.min_by("o_orderpriority", F.struct("mean", "o_orderpriority"))
+    return means.groupBy("o_custkey").agg(best.alias("best"), worst.alias("worst"))
+
+
 def pivot_counts(spark, d):
     return load(spark, d, "lineitem").groupBy("l_returnflag").pivot("l_linestatus", ["F", "O"]).agg(F.count(F.lit(1))).select("l_returnflag", F.col("F").alias("finished"), F.col("O").alias("open"))
 
@@ -259,7 +271,7 @@ QUERIES = {
     for f in (
         dedupe_keep_first, duplicate_count, null_profile, distinct_sorted, exact_replace, parse_formats, coerce_numbers, fill_constant, fill_column, default_columns, drop_incomplete, duration_minutes, row_audit,
         gap_minutes, mean_gap_by_user, top_bottom, mean_of_means, ordered_reindex, above_mean, inner_join_enrich, group_median_ratio, fallback_three_levels, value_grid, best_of_grid, best_of_group, rank_with_ties,
-        zscore_by_group, group_range_flags, group_shares, pivot_counts, grouping_sets, anti_join, semi_join_order, calendar_features, regime_flags, time_index, chronological_split, hash_sample, hash_split, note_parts,
+        zscore_by_group, group_range_flags, group_shares, conditional_rates, best_and_worst, pivot_counts, grouping_sets, anti_join, semi_join_order, calendar_features, regime_flags, time_index, chronological_split, hash_sample, hash_split, note_parts,
         amenity_flags, price_clean, range_midpoint, duration_years, natural_order, collapsed_text, slice_items, word_counts,
     )
 }
@@ -304,6 +316,8 @@ ORACLE = {
     "zscore_by_group": "SELECT s_suppkey, round(CASE WHEN stddev_samp(s_acctbal) OVER w > 0 THEN (s_acctbal - avg(s_acctbal) OVER w) / stddev_samp(s_acctbal) OVER w END, 6) AS z FROM supplier WINDOW w AS (PARTITION BY s_nationkey)",
     "group_range_flags": "SELECT s_nationkey, round(max(s_acctbal) - min(s_acctbal), 2) AS spread, max(s_acctbal) - min(s_acctbal) < 8000 AS compressed FROM supplier GROUP BY 1",
     "group_shares": "SELECT o_orderstatus, CAST(year AS INTEGER) AS year, n, round(n / sum(n) OVER (PARTITION BY year), 6) AS share FROM (SELECT o_orderstatus, year(o_orderdate) AS year, count(*) AS n FROM orders GROUP BY ALL)",
+    "conditional_rates": "SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) AS n, count(*) FILTER (event_type = 'purchase') AS purchases, round(count(*) FILTER (event_type = 'purchase') / count(*), 6) AS rate FROM events GROUP BY 1",
+    "best_and_worst": "WITH m AS (SELECT o_custkey, o_orderpriority, round(avg(o_totalprice), 4) AS mean FROM orders GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY mean DESC, o_orderpriority DESC) AS a, row_number() OVER (PARTITION BY o_custkey ORDER BY mean, o_orderpriority) AS b FROM m) SELECT o_custkey, max(o_orderpriority) FILTER (a = 1) AS best, max(o_orderpriority) FILTER (b = 1) AS worst FROM r GROUP BY 1",
     "pivot_counts": "SELECT l_returnflag, nullif(count(*) FILTER (l_linestatus = 'F'), 0) AS finished, nullif(count(*) FILTER (l_linestatus = 'O'), 0) AS open FROM lineitem GROUP BY 1",
     "grouping_sets": "SELECT c_mktsegment, c_nationkey, count(*) AS n FROM customer GROUP BY GROUPING SETS ((c_mktsegment), (c_nationkey))",
     "anti_join": "SELECT c_custkey, c_mktsegment FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F')",
