@@ -67,6 +67,13 @@ def _month_length(year: Column, month: Column) -> Column:
     return F.when(month == 2, F.when(leap, 29).otherwise(28)).when(month.isin(4, 6, 9, 11), 30).otherwise(31)
 
 
+def _apart(x: Column) -> Column:
+    """``x`` itself, through a higher-order function: a projection that has one is compiled to several small methods instead of
+    becoming part of one large method, which the JVM would leave interpreted.
+    """
+    return F.get(F.transform(F.array(x), lambda v: v), F.lit(0))
+
+
 def with_instant(df: DataFrame, text: str, zone: str | None, order: str | None, out: str, default_zone: str = "UTC") -> DataFrame:
     """``df`` with column ``out``: UTC milliseconds (bigint) of the timestamp text in column ``text``, or null.
 
@@ -84,7 +91,7 @@ def with_instant(df: DataFrame, text: str, zone: str | None, order: str | None,
         prefix += "_"
     p, c = f"{prefix}p", f"{prefix}c"
     part = lambda name: F.get(F.col(p), F.lit(_PARTS.index(name)))
-    number = lambda x: x.try_cast("int")
+    number = lambda x: F.when(x != "", x.try_cast("int"))  # noqa: E731  (a failing cast costs an exception)
     zones = known_zones(df.sparkSession)
     source = F.col(f"`{text}`")
     order_value = F.upper(F.trim(F.col(f"`{order}`"))) if order else F.lit("DMY")
@@ -115,7 +122,7 @@ def with_instant(df: DataFrame, text: str, zone: str | None, order: str | None,
                 number(F.substring(F.concat(part("frac"), F.lit("000")), 1, 3)).alias("f"),
                 F.when(offset != "", F.when(F.startswith(offset, F.lit("-")), -offset_minutes).otherwise(offset_minutes)).alias("o"),
                 part("zone").alias("z"),
-                part("epoch").alias("e"),
+                _apart(part("epoch")).alias("e"),
             ),
         ),
     )
@@ -130,6 +137,7 @@ def with_instant(df: DataFrame, text: str, zone: str | None, order: str | None,
     wall = F.col(f"{prefix}w")
     ruled = F.when(rule.isin(zones), F.unix_millis(F.to_utc_timestamp(F.timestamp_millis(wall), rule)))
     instant = F.when(of("e") != "", epoch.cast("long")).when(of("o").isNotNull(), F.when(F.abs(of("o")) <= 1080, wall - of("o") * 60_000)).when((of("z") != "") & fixed.isNotNull(), wall - fixed * 60_000).otherwise(ruled)
-    # One generated row each: a filter on the result must not be pushed below, where it would repeat the whole expression.
     kept = [f"`{x}`" for x in df.columns if x not in (p, c, f"{prefix}w", out)]
-    return df.select(*kept, F.explode(F.array(instant.cast("long"))).alias(out))
+    df = df.select(*kept, _apart(instant.cast("long")).alias(f"{prefix}i"))
+    # One generated row each: a filter on the result must not be pushed below, where it would repeat the whole expression.
+    return df.select(*kept, F.explode(F.array(f"{prefix}i")).alias(out))
