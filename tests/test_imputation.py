@@ -4,6 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators.imputation import impute_pmm
+from tidemark.plans import problems
+from tidemark.session import cut
 
 SCHEMA = "rid bigint, e string, t int, g string, h string, x double, y double, _id string, _p int, value string"
 
@@ -66,3 +68,13 @@ def test_small_grids(spark, cells, slots):
     rows = [(k, f"e{k}", 0, "a", "h", float(k), float(k) if k % 3 else None) for k in range(60)]
     got = run(table(spark, rows), cells=cells, slots=slots)
     assert all(r.value is not None for r in got.values())
+
+
+def test_found_rows_come_from_filled_values(spark, data, monkeypatch):
+    written = []
+    monkeypatch.setattr(problems, "cut", lambda df: written.append(cut(df)) or written[-1])
+    found = problems.p7_found(spark, data)
+    assert len(written) == 1 and {"row_id", "field", "value", "filled", "donor_row_id", "how"} <= set(written[0].columns)
+    assert found.count() == written[0].count() and written[0].where("filled and donor_row_id is not null").count() > 0
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan

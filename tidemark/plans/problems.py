@@ -9,7 +9,7 @@ from tidemark.operators.imputation import impute_pmm
 from tidemark.operators.intervals import periods_and_gaps
 from tidemark.operators.sessions import sessionize
 from tidemark.plans.visits import instants, merged_visits
-from tidemark.session import load
+from tidemark.session import cut, load
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,8 +53,11 @@ def p7_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The missing values: all that the imputation had to fill, whether a donor was found or not."""
-    return p7_filled(spark, sf_dir).select("row_id", "field")
+    """The missing values: all that the imputation had to fill, whether a donor was found or not.
+
+    The filled table is written first; selected from directly, its values would not be computed at all.
+    """
+    return cut(p7_filled(spark, sf_dir)).select("row_id", "field")
 
 
 QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p7_found": p7_found, "p7_filled": p7_filled}
