@@ -78,3 +78,20 @@ def test_found_rows_come_from_filled_values(spark, data, monkeypatch):
     assert found.count() == written[0].count() and written[0].where("filled and donor_row_id is not null").count() > 0
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and "Aggregate" not in plan
+
+
+@pytest.mark.parametrize("cells,slots", [(2048, 16), (3, 4), (1, 1), (2, 500)])
+def test_donors_are_the_nearest_of_all(spark, cells, slots):
+    rnd = random.Random(7)
+    # No groups or entity, one feature: predictions are linear in x. One extreme value, and half of all donors share one.
+    donors = {k: 1e6 if k == 0 else 5.0 if k % 2 else rnd.uniform(0, 10) for k in range(400)}
+    asking = {1000 + k: 5.0 if k % 5 == 0 else rnd.uniform(-1, 11) for k in range(150)}
+    rows = [(k, None, 0, None, None, x, x) for k, x in donors.items()] + [(k, None, 0, None, None, x, None) for k, x in asking.items()]
+    got = impute_pmm(table(spark, rows), "rid", F.col("y"), None, None, [], {"x": F.col("x")}, cells=cells, slots=slots, keep_observed=False).collect()
+    assert {r.rid for r in got} == asking.keys()
+    for r in got:
+        x = asking[r.rid]
+        farthest = sorted(abs(d - x) for d in donors.values())[min(slots, 400) - 1]
+        assert r.how == "similar" and r.value == donors[r.donor_id] and abs(r.value - x) <= farthest + 1e-6
+    if slots == 1:
+        assert len({r.donor_id for r in got if asking[r.rid] == 5.0}) > 5

@@ -2,8 +2,9 @@
 
 Predictive mean matching. A value is predicted from nested group means, each shrunk towards the mean of the wider group, and a
 linear regression of what they leave on numeric columns; both are fitted on all observed rows by partial aggregation, and
-only one row of sums reaches the driver. Donors are laid out on a grid over the range of predictions. A recipient searches its
-cell, else the nearest occupied one, and copies the observed value of one of the cell's donors, together with the donor's id.
+only one row of sums reaches the driver. Donors and recipients are ordered by prediction in stretches of about equal size, equal
+predictions by the hash of their id, so that a dense range or a single value fills many. Every observed row is a donor. A recipient
+copies the observed value of one of the donors with the nearest predictions, drawn by the hash of its id, and the donor's id.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 from tidemark.session import cut
 
-#: Cells of the grid and donors offered by a cell: the lookup table has at most CELLS rows with SLOTS donors each.
+#: Most stretches into which the order of predictions is cut, and nearest donors of which one is drawn.
 CELLS, SLOTS = 2048, 16
 
 
@@ -77,7 +78,7 @@ def impute_pmm(
     """Observed and filled values: row_id, value, filled, donor_id, how ('observed', 'same_entity', 'similar' or null).
 
     ``target``: the observed value as a double, null where it is missing. A missing value is copied from the latest observed
-    row of the same ``entity`` (by ``recency``, then row id), else from a donor with a nearby prediction. ``groups`` go
+    row of the same ``entity`` (by ``recency``, then row id), else from one of the ``slots`` donors with the nearest predictions. ``groups`` go
     from the widest key to the narrowest, nulls being a group of their own; ``features`` are numeric, null or NaN counts
     as the mean. Of equal rows each gets its own result. If nothing is observed, missing values stay null with filled = false.
     An empty table gives no rows. Columns of ``df`` that are not named are not read. Without ``keep_observed`` only the rows
@@ -106,28 +107,37 @@ def impute_pmm(
     linear = reduce(Column.__add__, [(F.coalesce(F.col(n), F.lit(float(m))) - float(m)) * float(b) for n, m, b in zip(names, means, beta, strict=True)], F.lit(0.0))
     scored = base.withColumn("_p", F.col("_p") + linear)
 
-    low, high = scored.where("_y is not null").agg(F.min("_p"), F.max("_p")).first()
-    low, width = (low or 0.0), max((high or 0.0) - (low or 0.0), 1e-12)
-    cell = F.greatest(F.lit(0), F.least(F.lit(cells - 1), F.floor((F.col("_p") - low) / width * cells))).cast("int")
-    donors = scored.where("_y is not null").select(cell.alias("_c"), F.pmod(F.xxhash64("_id"), F.lit(slots)).alias("_slot"), F.struct("_id", "_y").alias("_d"))
-    offered = donors.groupBy("_c", "_slot").agg(F.min_by("_d", F.struct(F.xxhash64("_d._id", F.lit(7)), F.col("_d._id"), F.col("_d._y"))).alias("_d"))
-    offered = offered.groupBy("_c").agg(F.array_sort(F.collect_list("_d")).alias("_donors"))
-    grid = df.sparkSession.range(cells).select(F.col("id").cast("int").alias("_c")).join(offered, "_c", "left")
-    before, after = Window.orderBy("_c").rowsBetween(Window.unboundedPreceding, 0), Window.orderBy("_c").rowsBetween(0, Window.unboundedFollowing)
-    here = F.when(F.col("_donors").isNotNull(), F.struct("_c", "_donors"))
-    lookup = grid.select("_c", F.last(here, True).over(before).alias("_b"), F.first(here, True).over(after).alias("_a"))
-    nearer = F.when(F.col("_b").isNull() | (F.col("_a._c") - F.col("_c") < F.col("_c") - F.col("_b._c")), F.col("_a._donors")).otherwise(F.col("_b._donors"))
-    lookup = lookup.select("_c", nearer.alias("_donors"))
-
-    filled = (scored if keep_observed else scored.where("_y is null")).select("_id", "_y", "_e", cell.alias("_c"))
+    # Recipients look for the latest row of their entity; donors need none.
+    lost = scored.where("_y is null")
     if entity:
         latest = rows.where("_y is not null and _e is not null").groupBy("_e").agg(F.max_by(F.struct("_id", "_y"), F.struct("_t", "_id", "_y")).alias("_own"))
-        filled = filled.join(latest, "_e", "left")
+        lost = lost.join(latest, "_e", "left")
     else:
-        filled = filled.withColumn("_own", F.lit(None).cast("struct<_id:bigint,_y:double>"))
-    filled = filled.join(F.broadcast(lookup), "_c", "left")
-    like = F.when(F.size("_donors") > 0, F.get("_donors", F.pmod(F.xxhash64("_id"), F.size("_donors")).cast("int")))
+        lost = lost.withColumn("_own", F.struct("_id", "_y")).withColumn("_own", F.when(F.lit(False), F.col("_own")))
+    known = scored.where("_y is not null").withColumn("_own", F.when(F.lit(False), F.struct("_id", "_y")))
+    order = ["_p", "_h", "_id", "_y"]
+    both = known.select("_id", "_y", "_p", "_own").unionByName(lost.select("_id", "_y", "_p", "_own")).withColumn("_h", F.xxhash64("_id"))
+    # Written once with the number of its stretch: a second sampling of the ranges could place rows otherwise.
+    parts = max(1, min(cells, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    placed = cut(both.repartitionByRange(parts, "_p", "_h").withColumn("_part", F.spark_partition_id()))
+
+    # Each row gets the number of donors before it in the order of predictions, a donor thus its rank.
+    sizes = placed.groupBy("_part").agg(F.count("_y").alias("_m"))
+    starts = sizes.select(F.col("_part").alias("_s"), (F.sum("_m").over(Window.orderBy("_part")) - F.col("_m")).alias("_start"))
+    upto = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = placed.withColumn("_rank", F.count("_y").over(upto)).join(F.broadcast(starts), F.col("_part") == F.col("_s")).withColumn("_rank", F.col("_rank") + F.col("_start") - F.col("_y").isNotNull().cast("int"))
+
+    # The k nearest are among the k donors before and the k after a row: those of its k ranks and of the k on either side.
+    k = slots
+    near = ranked.where("_y is not null").select("_rank", F.struct("_rank", "_p", "_id", "_y").alias("_d"), F.floor(F.col("_rank") / k).alias("_b0"))
+    near = near.select(F.explode(F.array(F.col("_b0") - 1, F.col("_b0"), F.col("_b0") + 1)).alias("_b"), "_d").groupBy("_b").agg(F.collect_list("_d").alias("_donors"))
+    filled = (ranked if keep_observed else ranked.where("_y is null")).withColumn("_b", F.floor(F.col("_rank") / k)).join(near, "_b", "left")
+    around = F.filter("_donors", lambda d: (d["_rank"] >= F.col("_rank") - k) & (d["_rank"] < F.col("_rank") + k))
+    by_distance = F.transform(around, lambda d: F.struct(F.abs(d["_p"] - F.col("_p")).alias("far"), F.abs(2 * (d["_rank"] - F.col("_rank")) + 1).alias("off"), d["_rank"].alias("rank"), d["_id"].alias("_id"), d["_y"].alias("_y")))
     missing = F.col("_y").isNull()
+    nearest = F.when(missing & F.col("_own").isNull(), F.slice(F.array_sort(by_distance), 1, k))
+    filled = filled.select("_id", "_y", "_own", F.inline(F.array(F.struct(nearest.alias("_nearest")))))
+    like = F.when(F.size("_nearest") > 0, F.get("_nearest", F.pmod(F.xxhash64("_id", F.lit(7)), F.size("_nearest")).cast("int")))
     value = F.coalesce(F.col("_y"), F.col("_own._y"), like["_y"])
     how = F.when(~missing, "observed").when(F.col("_own").isNotNull(), "same_entity").when(like.isNotNull(), "similar")
     donor = F.when(missing, F.coalesce(F.col("_own._id"), like["_id"]))
