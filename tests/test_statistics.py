@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.distributions import chi2_tail, t_tail
 from tidemark.operators import modelling as ml
 from tidemark.operators import statistics as st
+from tidemark.plans import statistics
 
 
 @pytest.fixture(scope="module")
@@ -129,3 +130,22 @@ def test_folds_expand_and_stack_learns(spark):
     assert st.regression_metrics(stack.predict(ready.where("at >= 500")), F.col("y"), F.col("predicted")).first().r2 > 0.9
     unseen = ml.features(["v"], ["c"]).fit(logged).transform(spark.createDataFrame([(1.0, "new", 2.0, 3.0)], "at double, c string, v double, y double"))
     assert list(unseen.first().features.toArray()) == [2.0, 0.0, 0.0]
+
+
+def test_search_covers_the_grids(spark, monkeypatch):
+    grids = ml.grids()
+    assert {n: len(g) for n, g in grids.items()} == {"linear": 1, "ridge": 4, "lasso": 4, "tree": 12, "forest": 6, "boosting": 12}
+    assert {(e.getNumTrees(), e.getMaxDepth()) for e in (make(1) for make in grids["forest"].values())} == {(t, d) for t in (50, 100) for d in (10, 15, 20)}
+    assert {(e.getMaxIter(), e.getStepSize(), e.getMaxDepth()) for e in (make(1) for make in grids["boosting"].values())} == {(t, s, d) for t in (50, 100) for s in (0.05, 0.1) for d in (3, 5, 7)}
+    assert grids["ridge"]["alpha=10.0"](200).getRegParam() == 0.05
+    rows = ml.with_log_target(spark.range(120).select(F.col("id").cast("double").alias("at"), (F.col("id") % 7).cast("double").alias("x"), F.exp(1 + (F.col("id") % 7) / 5).alias("y")), "y")
+    ready = ml.features(["x"], []).fit(rows).transform(rows)
+    few = {"ridge": {p: grids["ridge"][p] for p in ("alpha=0.1", "alpha=100.0")}, "linear": grids["linear"]}
+    scores = ml.search_grids(ready, "at", "y", few)
+    assert {(r.model, r.params, r.fold) for r in scores.collect()} == {(m, p, k) for m, g in few.items() for p in g for k in range(1, 6)}
+    assert ml.best_settings(scores, few, 120)["ridge"].getRegParam() == 0.1 / 120
+    seen = []
+    monkeypatch.setattr(statistics.ml, "search_grids", lambda df, time, target, candidates, folds: seen.append((set(candidates), folds)))
+    monkeypatch.setattr(statistics, "_model_rows", lambda spark, d: (None, None))
+    statistics.fold_scores(spark, "")
+    assert seen == [(set(grids), 5)]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
@@ -86,6 +86,27 @@ def regressors(seed: int = 42) -> dict[str, Estimator]:
     }
 
 
+#: A model with its settings, made for a number of training rows.
+Candidates = Mapping[str, Mapping[str, Callable[[int], Estimator]]]
+
+
+def grids(seed: int = 42) -> dict[str, dict[str, Callable[[int], Estimator]]]:
+    """The settings that a search tries, by model; each is made for n training rows, by which a ridge penalty is divided.
+
+    Least rows to split a node (2, 10, 20) have no twin here: half of each is asked of either child, and no limit of depth is 30.
+    """
+    common = {"labelCol": "log_target", "featuresCol": "features"}
+    flat = common | {"standardization": False}
+    return {
+        "linear": {"": lambda n: LinearRegression(**common)},
+        "ridge": {f"alpha={a}": lambda n, a=a: LinearRegression(regParam=a / max(n, 1), elasticNetParam=0.0, **flat) for a in (0.1, 1.0, 10.0, 100.0)},
+        "lasso": {f"alpha={a}": lambda n, a=a: LinearRegression(regParam=a, elasticNetParam=1.0, maxIter=10_000, **flat) for a in (0.0001, 0.001, 0.01, 0.1)},
+        "tree": {f"depth={d}, child={m}": lambda n, d=d, m=m: DecisionTreeRegressor(maxDepth=d, minInstancesPerNode=m, seed=seed, **common) for d in (10, 15, 20, 30) for m in (1, 5, 10)},
+        "forest": {f"trees={t}, depth={d}": lambda n, t=t, d=d: RandomForestRegressor(numTrees=t, maxDepth=d, featureSubsetStrategy="all", seed=seed, **common) for t in (50, 100) for d in (10, 15, 20)},
+        "boosting": {f"rounds={t}, step={e}, depth={d}": lambda n, t=t, e=e, d=d: GBTRegressor(maxIter=t, stepSize=e, maxDepth=d, seed=seed, **common) for t in (50, 100) for e in (0.05, 0.1) for d in (3, 5, 7)},
+    }
+
+
 def with_log_target(df: DataFrame, target: str) -> DataFrame:
     """Rows with a positive target and its logarithm, on which models are fitted; predictions are turned back by exp."""
     return df.where(F.col(target) > 0).withColumn("log_target", F.log(target))
@@ -130,6 +151,26 @@ def grid_search(df: DataFrame, time: str, target: str, candidates: Mapping[str,
     return df.sparkSession.createDataFrame(rows, "model string, fold int, rmse double")
 
 
+def search_grids(df: DataFrame, time: str, target: str, candidates: Candidates, folds: int = 5) -> DataFrame:
+    """model, params, fold, rmse on the original scale, of every setting of every model over expanding folds."""
+    rows = []
+    for k, (train, held_out) in enumerate(expanding_folds(df, time, folds), 1):
+        train, held_out = train.cache(), held_out.cache()
+        n = train.count()
+        for name, settings in candidates.items():
+            for params, make in settings.items():
+                rows.append((name, params, k, regression_metrics(predict(make(n).fit(train), held_out), F.col(target), F.col("predicted")).first()["rmse"]))
+        train.unpersist(), held_out.unpersist()
+    return df.sparkSession.createDataFrame(rows, "model string, params string, fold int, rmse double")
+
+
+def best_settings(scores: DataFrame, candidates: Candidates, n: int) -> dict[str, Estimator]:
+    """Of each model the setting with the least mean rmse over the folds, made for n training rows."""
+    means = scores.groupBy("model", "params").agg(F.avg("rmse").alias("rmse"))
+    best = means.groupBy("model").agg(F.min_by("params", F.struct("rmse", "params")).alias("params")).collect()
+    return {r["model"]: candidates[r["model"]][r["params"]](n) for r in best}
+
+
 class Stack:
     """Base models whose out-of-fold predictions feed a linear model; bases are refitted on all rows."""
 

@@ -149,27 +149,31 @@ def _model_rows(spark, d):
     return prepared.where(F.col("at") <= split), prepared.where(F.col("at") > split)
 
 
+def _tuned(train, *names):
+    """Models with the settings that a search over the survey's grids and five expanding folds finds best."""
+    candidates = {n: g for n, g in ml.grids().items() if not names or n in names}
+    return ml.best_settings(ml.search_grids(train, "at", "l_extendedprice", candidates, 5), candidates, train.count())
+
+
 def forecast_leaderboard(spark, d):
     train, test = _model_rows(spark, d)
-    return ml.leaderboard(train, test, "l_extendedprice", ml.regressors())
+    return ml.leaderboard(train, test, "l_extendedprice", _tuned(train))
 
 
 def stacking_forecast(spark, d):
     train, test = _model_rows(spark, d)
-    all_models = ml.regressors()
-    stack = ml.Stack({n: all_models[n] for n in ("forest", "boosting", "ridge")}, folds=3).fit(train, "at")
+    stack = ml.Stack(_tuned(train, "forest", "boosting", "ridge"), folds=5, ridge=1.0 / max(train.count(), 1)).fit(train, "at")
     return st.regression_metrics(stack.predict(test), F.col("l_extendedprice"), F.col("predicted"))
 
 
 def fold_scores(spark, d):
     train, _ = _model_rows(spark, d)
-    models = ml.regressors()
-    return ml.grid_search(train, "at", "l_extendedprice", {n: models[n] for n in ("ridge", "lasso", "tree")})
+    return ml.search_grids(train, "at", "l_extendedprice", ml.grids(), 5)
 
 
 def feature_importance(spark, d):
     train, _ = _model_rows(spark, d)
-    return ml.importances(ml.regressors()["forest"].fit(train), train)
+    return ml.importances(ml.grids()["forest"]["trees=100, depth=20"](train.count()).fit(train), train)
 
 
 def booking_model(spark, d):
@@ -177,7 +181,7 @@ def booking_model(spark, d):
     weighted = ml.balanced_weights(rows, "label")
     prepared = ml.features(["accommodates", "reviews"], ["room_type"]).fit(weighted).transform(weighted)
     part = F.pmod(F.xxhash64("row_id"), F.lit(10))
-    model = ml.classifier("label", trees=20, depth=8).fit(prepared.where(part < 8))
+    model = ml.classifier("label", trees=100, depth=30).fit(prepared.where(part < 8))
     return st.rank_auc(ml.probability_of_one(model.transform(prepared.where(part >= 8))), F.col("label"), F.round("p1", 9))
 
 
