@@ -115,3 +115,11 @@ def test_dates(spark):
     assert got == [(2026, 8, 6, 1), (2024, 2, 3, 0)]
     assert [r.x for r in df.select(dates.since_flags(dates.year_month(F.col("d")), {"f": "2024-03"})["f"].alias("x")).collect()] == [1, 0]
     assert column(spark, ["2024-01-02 03:04:05", "2024/01/02 03:04", "January 2, 2024 8:29PM", "bad"], lambda c: dates.parse_first(c, ("yyyy-MM-dd HH:mm:ss", "yyyy/MM/dd HH:mm", "MMMM d, yyyy h:mma")).cast("string")) == ["2024-01-02 03:04:05", "2024-01-02 03:04:00", "2024-01-02 20:29:00", None]
+
+
+def test_rows_without_time_are_kept(spark):
+    rows = [(1, "a", None), (2, "a", "2024-01-01 10:00:00"), (3, "a", None), (4, "a", "2024-01-01 10:30:00"), (5, "a", "2024-01-03 10:00:00"), (6, None, None), (7, "a", "1969-12-31 23:00:00")]
+    df = spark.createDataFrame(rows, "id int, k string, at string").withColumn("at", F.to_timestamp("at"))
+    for typed in (df, df.withColumn("at", F.col("at").cast("timestamp_ntz"))):
+        got = {r.id: r.before for r in rel.with_previous(typed, "k", "at", "id", F.col("id"), "before").collect()}
+        assert got == {1: None, 2: 7, 3: None, 4: 2, 5: 4, 6: None, 7: None}

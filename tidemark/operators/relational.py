@@ -116,15 +116,17 @@ def rank_with_ties(df: DataFrame, value: str, keep: int) -> DataFrame:
 def with_previous(df: DataFrame, key: str, time: str, tie: str, value: Column, out: str, width: str = "1 day") -> DataFrame:
     """Each row with ``value`` of the key's row before it, in order of time and tie; null for its first row.
 
-    Rows are ordered within stretches of time, so that a key with a third of all rows fills many tasks; the first row of a
+    A row without time has no place in the order: it gets null and is before no other. Rows are ordered within stretches of time, so that a key with a third of all rows fills many tasks; the first row of a
     stretch takes the last value of the key's stretch before, from a table with one row for each key and stretch.
     """
-    rows = df.withColumn("_stretch", F.window(_col(time), width)["start"]).withColumn("_value", F.struct(value.alias("v")))
-    last = rows.groupBy(_col(key).alias("_key"), F.col("_stretch").alias("_s")).agg(F.max_by("_value", F.struct(_col(time), _col(tie))).alias("_last"))
+    # By arithmetic, since F.window drops rows without time.
+    micros = F.unix_micros(F.timestamp_micros(F.lit(0)) + F.expr(f"INTERVAL {width}"))
+    rows = df.withColumn("_stretch", F.floor(F.unix_micros(_col(time).cast("timestamp")) / micros)).withColumn("_value", F.struct(value.alias("v")))
+    last = rows.where("_stretch is not null").groupBy(_col(key).alias("_key"), F.col("_stretch").alias("_s")).agg(F.max_by("_value", F.struct(_col(time), _col(tie))).alias("_last"))
     before = last.withColumn("_before", F.lag("_last").over(Window.partitionBy("_key").orderBy("_s"))).drop("_last")
     here = F.lag("_value").over(Window.partitionBy(_col(key), "_stretch").orderBy(_col(time), _col(tie)))
     joined = rows.withColumn("_here", here).join(before, _col(key).eqNullSafe(F.col("_key")) & F.col("_stretch").eqNullSafe(F.col("_s")), "left")
-    return joined.withColumn(out, F.coalesce("_here", "_before")["v"]).drop("_stretch", "_value", "_key", "_s", "_before", "_here")
+    return joined.withColumn(out, F.when(F.col("_stretch").isNotNull(), F.coalesce("_here", "_before")["v"])).drop("_stretch", "_value", "_key", "_s", "_before", "_here")
 
 
 def zscore(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
