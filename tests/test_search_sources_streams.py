@@ -99,3 +99,12 @@ def test_streams(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "d")).count() == 4
     assert {(r.user, r.n) for r in spark.read.parquet(str(tmp_path / "w")).collect()} == {("a", 3), ("b", 1)}
     assert {(r.user, r.n) for r in spark.read.parquet(str(tmp_path / "s")).collect()} == {("a", 3), ("b", 1)}
+
+
+def test_speed_is_timed_over_34_terms_ten_times(spark, data, monkeypatch):
+    from tidemark.plans import texts
+
+    seen = []
+    monkeypatch.setattr(texts.search, "compare_speed", lambda runs, repeats=10: seen.append((list(runs), repeats)) or [{"name": n, "matches": 0, "mean_ms": 0.0} for n in runs])
+    assert texts.search_speed(spark, data).count() == 68
+    assert len(set(texts.TIMED)) == 34 and seen == [([f"{way} {t}" for way in ("index", "like") for t in texts.TIMED], 10)]

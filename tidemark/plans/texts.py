@@ -8,6 +8,11 @@ from tidemark.operators import search
 from tidemark.session import load
 
 QUERY = ("terrace", "harbour", "quiet")
+# The terms that are timed, frequent and rare ones.
+TIMED = (
+    "terrace", "harbour", "quiet", "beach", "garden", "pool", "kitchen", "balcony", "market", "station", "school", "river", "mountain", "parking", "breakfast", "nurse", "visit",
+    "patient", "pressure", "medication", "wound", "swap", "ticks", "trader", "order", "resale", "lease", "buyers", "renovation", "error", "template", "javascript", "judge", "zebra",
+)
 # Phrases that the screening of chats looks for, by category.
 DICTIONARY = (("offline", "move it offline"), ("offline", "no more on chat"), ("secrecy", "keep this between us"), ("secrecy", "delete that"), ("orders", "pull the order"), ("orders", "show less size"))
 
@@ -63,8 +68,8 @@ def search_speed(spark, d):
     documents = _documents(spark, d)
     index = search.build_index(documents, "doc_id", ["text"]).cache()
     index.count()
-    runs = {"index": lambda: search.match_any(index, "doc_id", QUERY[:1]), "like": lambda: search.like_scan(documents, ["text"], QUERY[0])}
-    out = spark.createDataFrame(search.compare_speed(runs, 3), "name string, matches bigint, mean_ms double")
+    runs = {f"index {t}": lambda t=t: search.match_any(index, "doc_id", [t]) for t in TIMED} | {f"like {t}": lambda t=t: search.like_scan(documents, ["text"], t) for t in TIMED}
+    out = spark.createDataFrame(search.compare_speed(runs), "name string, matches bigint, mean_ms double")
     index.unpersist()
     return out
 
