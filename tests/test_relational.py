@@ -92,8 +92,10 @@ def test_stack_exclude_default(spark):
 
 def test_texts(spark):
     assert column(spark, ["follow-up needed", "ASAP", None], text.title_case) == ["Follow-Up Needed", "Asap", None]
-    assert column(spark, ["Monitoring. Urgent", "No notes provided", None], text.note_urgency) == ["Monitoring", "None", "None"]
-    assert column(spark, ["The patient is in pain.", "x"], text.note_status) == ["In Pain", "Unknown"]
+    notes = ["ASAP. The nurse reviewed the blood pressure. The patient is in pain.", "No notes provided", "Follow-up needed.", "Routine review then Critical.", "Follow-up on Monday.", "Action: call family.", "ongoing assessment", "A stable bandage was used.", "pt in pain", "the PATIENT is Dizzy today", "Reviewed twice", "", None]
+    assert column(spark, notes, text.note_urgency) == ["Asap", "None", "Follow-Up", "Review", "Follow-Up", "Action", "Ongoing Assessment", "None", "None", "None", "None", "None", "None"]
+    assert column(spark, notes, text.note_status) == ["In Pain", *["Unknown"] * 8, "Dizzy", "Unknown", "Unknown", "Unknown"]
+    assert column(spark, notes[:3], text.note_action) == ["reviewed the blood pressure", "Unknown", "Unknown"]
     assert column(spark, ["ASAP. The nurse Checked the left heel . The", "The nurse ran"], text.note_action) == ["checked the left heel", "Unknown"]
     assert column(spark, ["07 TO 09", "7", "a TO b", None], text.range_midpoint) == [8.0, None, None, None]
     got = column(spark, ["61 years 04 months", "95", "70 years", "soon", None], text.years_of)

@@ -283,9 +283,6 @@ _PARSED = r"""bare AS (SELECT *, regexp_replace(upper(price), '[\s\p{Z}]|ZAR|R|\
     priced AS (SELECT *, CASE WHEN regexp_matches(d, '^-?[0-9]+(\.[0-9]+)?$') THEN CAST(d AS DOUBLE) END AS amount FROM dotted)"""
 _GAPS = "gaps AS (SELECT event_id, user_id, CASE WHEN g BETWEEN 0 AND 240 THEN g END AS gap FROM (SELECT event_id, user_id, (epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id))) / 6e7 AS g FROM events))"
 _MEANS = f"WITH {_GAPS}, means AS (SELECT user_id, round(avg(gap), 6) AS mean_gap, count(gap) AS n FROM gaps WHERE user_id IS NOT NULL GROUP BY 1 HAVING count(gap) > 0)"
-_URGENCY = "(?i)\\b(" + "|".join(text.URGENCIES) + ")\\b"
-_STATE = "(?i)\\b(" + "|".join(text.STATES) + ")\\b"
-_TITLE = lambda x: f"CASE {x} " + " ".join(f"WHEN '{v.lower()}' THEN '{'-'.join(' '.join(w.capitalize() for w in p.split(' ')) for p in v.split('-'))}'" for v in (*text.URGENCIES, *text.STATES)) + " END"
 ORACLE = {
     "dedupe_keep_first": _FIRST,
     "duplicate_count": "SELECT count(*) AS row_count, count(*) - count(DISTINCT (l_orderkey, l_linenumber)) AS surplus, round((count(*) - count(DISTINCT (l_orderkey, l_linenumber))) * 100.0::DOUBLE / count(*), 6) AS surplus_pct FROM lineitem",
@@ -326,7 +323,11 @@ ORACLE = {
     "regime_flags": "SELECT o_orderkey, " + ", ".join(f"CAST(strftime(o_orderdate, '%Y-%m') >= '{v}' AS INTEGER) AS {k}" for k, v in REGIMES.items()) + " FROM orders",
     "time_index": "SELECT o_orderkey, CAST((year(o_orderdate) - (SELECT min(year(o_orderdate)) FROM orders)) * 12 + month(o_orderdate) AS INTEGER) AS month_index FROM orders",
     "chronological_split": "SELECT CASE WHEN year(o_orderdate) <= 1998 THEN 'train' WHEN year(o_orderdate) = 1999 THEN 'validation' ELSE 'test' END AS part, count(*) AS n, round(avg(o_totalprice), 4) AS mean_price FROM orders GROUP BY 1",
-    "note_parts": f"WITH n AS (SELECT row_id, coalesce(nurse_notes, 'No notes provided') AS note FROM visits) SELECT row_id, coalesce({_TITLE(f'''lower(regexp_extract(note, '{_URGENCY}', 1))''')}, 'None') AS urgency, coalesce({_TITLE(f'''lower(regexp_extract(note, '{_STATE}', 1))''')}, 'Unknown') AS status, CASE WHEN regexp_matches(note, '(?i)The nurse (\\w+) the ([^.]+)\\.') THEN lower(regexp_extract(note, '(?i)The nurse (\\w+) the ([^.]+)\\.', 1)) || ' the ' || trim(regexp_extract(note, '(?i)The nurse (\\w+) the ([^.]+)\\.', 2)) ELSE 'Unknown' END AS action FROM n",
+    "note_parts": r"""WITH n AS (SELECT row_id, coalesce(nurse_notes, 'No notes provided') AS note FROM visits),
+        found AS (SELECT row_id, note, lower(regexp_extract(note, '(?i)\b(asap|critical|urgent|action|review|monitoring|ongoing assessment|follow-up)\b', 1)) AS u, lower(regexp_extract(note, '(?i)the patient is (stable|in pain|dizzy|weak|restless|comfortable|improving)', 1)) AS s FROM n)
+        SELECT row_id, CASE u WHEN '' THEN 'None' WHEN 'ongoing assessment' THEN 'Ongoing Assessment' WHEN 'follow-up' THEN 'Follow-Up' ELSE upper(u[1]) || u[2:] END AS urgency,
+            CASE s WHEN '' THEN 'Unknown' WHEN 'in pain' THEN 'In Pain' ELSE upper(s[1]) || s[2:] END AS status,
+            CASE WHEN regexp_matches(note, '(?i)The nurse (\w+) the ([^.]+)\.') THEN lower(regexp_extract(note, '(?i)The nurse (\w+) the ([^.]+)\.', 1)) || ' the ' || trim(regexp_extract(note, '(?i)The nurse (\w+) the ([^.]+)\.', 2), E' \t\r\n') ELSE 'Unknown' END AS action FROM found""",
     "amenity_flags": "SELECT row_id, " + ", ".join(f"CAST(coalesce(contains(lower(amenities), '{t}'), false) AS INTEGER) AS has_{t}" for t in ("pool", "wifi", "parking")) + " FROM listings",
     "price_clean": f"WITH {_PARSED} SELECT row_id, amount FROM priced",
     "range_midpoint": "SELECT p_partkey, CASE WHEN p_partkey % 7 <> 0 THEN p_size + 1.0::DOUBLE END AS middle FROM part",
