@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators.imputation import impute_pmm
+from tidemark.operators.imputation import impute_fields
 from tidemark.operators.intervals import periods_and_gaps
 from tidemark.operators.sessions import sessionize
 from tidemark.plans.visits import instants, merged_visits
@@ -42,14 +42,19 @@ def observed_bedrooms(column: str = "bedrooms"):
 
 def p7_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every missing rating and bedroom count of listings, with the value copied into it, its donor and how it was found."""
-    listings = load(spark, sf_dir, "listings")
     rating, bedrooms = observed_rating(), observed_bedrooms()
-    common = {"accommodates": F.col("accommodates"), "reviews": F.log1p(F.col("number_of_reviews")), "nights": F.col("minimum_nights"), "superhost": (F.col("host_is_superhost") == "t").cast("int")}
-    groups = ["room_type", "neighbourhood_cleansed"]
-    of_rating = impute_pmm(listings, "row_id", rating, "id", "last_scraped", groups, common | {"bedrooms": bedrooms}, keep_observed=False)
-    of_bedrooms = impute_pmm(listings, "row_id", bedrooms, "id", "last_scraped", groups, common | {"rating": rating}, keep_observed=False)
-    both = [x.select("row_id", F.lit(field).alias("field"), "value", "filled", F.col("donor_id").alias("donor_row_id"), "how") for x, field in ((of_rating, "review_scores_rating"), (of_bedrooms, "bedrooms"))]
-    return both[0].unionAll(both[1])
+    common = {"accommodates": F.col("accommodates"), "reviews": F.log1p("number_of_reviews"), "nights": F.log1p("minimum_nights"), "superhost": (F.col("host_is_superhost") == "t").cast("int")}
+    fields = {"review_scores_rating": (rating, common | {"bedrooms": bedrooms, "no_bedrooms": bedrooms.isNull().cast("int")}), "bedrooms": (bedrooms, common | {"rating": rating, "no_rating": rating.isNull().cast("int")})}
+    filled = impute_fields(load(spark, sf_dir, "listings"), "row_id", fields, "id", "last_scraped", ["room_type", "neighbourhood_cleansed"], keep_observed=False)
+    return filled.withColumnRenamed("donor_id", "donor_row_id")
+
+
+def p7_same_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The missing values that were filled from the latest row of the same listing, and how many of each field were filled otherwise."""
+    filled = cut(p7_filled(spark, sf_dir))
+    own = filled.where("how = 'same_entity'").select("field", "row_id", "donor_row_id", "value")
+    others = filled.where("how is distinct from 'same_entity'").groupBy("field").agg(F.count(F.lit(1)).alias("row_id"))
+    return own.unionAll(others.select("field", "row_id", F.lit(None).cast("bigint"), F.lit(None).cast("double")))
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,7 +65,7 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut(p7_filled(spark, sf_dir)).select("row_id", "field")
 
 
-QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p7_found": p7_found, "p7_filled": p7_filled}
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p7_found": p7_found, "p7_filled": p7_filled, "p7_same_listing": p7_same_listing}
 
 _UNORDERED = ", ".join(f"'{f}'" for f in (
     "%Y-%m-%d %H:%M:%S", "%Y-%m-%d %H:%M", "%Y-%m-%d %H:%M:%S.%g", "%Y-%m-%dT%H:%M:%S", "%Y-%m-%dT%H:%M", "%Y-%m-%dT%H:%M:%S.%g", "%Y-%m-%dT%H:%M:%S.%f", "%Y/%m/%d %H:%M", "%B %d, %Y %I:%M%p",
@@ -102,5 +107,13 @@ ORACLE = {
            OR NOT (review_scores_rating BETWEEN 1 AND 5 OR review_scores_rating BETWEEN 20 AND 100)
         UNION ALL
         SELECT row_id, 'bedrooms' FROM listings
-        WHERE bedrooms IS NULL OR isnan(bedrooms) OR NOT bedrooms BETWEEN 0 AND 20 OR bedrooms <> floor(bedrooms)""",
+        WHERE bedrooms IS NULL OR isnan(bedrooms) OR NOT bedrooms BETWEEN 0 AND 20 OR bedrooms <> floor(bedrooms)""",    "p7_same_listing": """
+        WITH seen AS (SELECT row_id, id, last_scraped,
+                CASE WHEN review_scores_rating BETWEEN 1 AND 5 THEN review_scores_rating WHEN review_scores_rating BETWEEN 20 AND 100 THEN review_scores_rating / 20 END AS rating,
+                CASE WHEN bedrooms BETWEEN 0 AND 20 AND bedrooms = floor(bedrooms) THEN bedrooms END AS rooms FROM listings),
+            long AS (SELECT 'review_scores_rating' AS field, row_id, id, last_scraped, rating AS y FROM seen UNION ALL SELECT 'bedrooms', row_id, id, last_scraped, rooms FROM seen),
+            newest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY field, id ORDER BY last_scraped DESC, row_id DESC) AS k FROM long WHERE y IS NOT NULL AND id IS NOT NULL) WHERE k = 1),
+            asked AS (SELECT l.field, l.row_id, n.row_id AS donor_row_id, n.y AS value FROM long l LEFT JOIN newest n ON n.field = l.field AND n.id = l.id WHERE l.y IS NULL)
+        SELECT field, row_id, donor_row_id, value FROM asked WHERE donor_row_id IS NOT NULL
+        UNION ALL SELECT field, count(*), NULL, NULL FROM asked WHERE donor_row_id IS NULL GROUP BY 1""",
 }
