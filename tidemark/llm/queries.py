@@ -93,8 +93,9 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that are template residue, filler, an error page or a script notice, or have some of it in them, however many of a source do."""
-    return residue(load(spark, sf_dir, "documents"), "doc_id", "text", "source", subtract=False).select("doc_id")
+    """Documents that are template residue, filler, an error page or a script notice, or have some of it left beside real content,
+    after the links that recur in most documents of a source are subtracted."""
+    return residue(load(spark, sf_dir, "documents"), "doc_id", "text", "source").select("doc_id")
 
 
 QUERIES = {"p1_percentiles": p1_percentiles, "p1_scrapes": p1_scrapes, "p4_found": p4_found, "p4_golden": p4_golden, "p6_found": p6_found, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found}
