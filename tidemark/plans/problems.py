@@ -74,7 +74,7 @@ _UNORDERED = ", ".join(f"'{f}'" for f in (
 _ORDERED = lambda first: ", ".join(f"'{f}'" for f in (f"{first}/%Y %H:%M", f"{first}/%Y %I:%M %p", f"{first.replace('/', '-')}-%Y %I:%M:%S %p"))
 _SHIFTS = "MAP {'UTC': 0, 'GMT': 0, 'SGT': 480, 'BST': 60, 'CET': 60, 'CEST': 120, 'AEST': 600, 'AEDT': 660, 'EST': -300, 'EDT': -240, 'SAST': 120}"
 #: The instants in SQL: zone and rest of the text taken apart, the rest parsed by formats, the later of two instants corrected.
-_INSTANTS = rf"""
+INSTANTS = rf"""
     texts AS (SELECT row_id, feed_id, 'visit_start_time' AS field, trim(visit_start_time) AS x FROM visits UNION ALL SELECT row_id, feed_id, 'visit_end_time', trim(visit_end_time) FROM visits),
     apart AS (SELECT row_id, field, x, tz_name, date_order, regexp_extract(x, ':\d{{2}}(?:\.\d+)?\s*(?:GMT|UTC)?\s*([+-]\d{{2}}:?\d{{2}})(?:\[[^\]]+\]|\s+\w+/\w+)?$', 1) AS o,
         CASE WHEN regexp_matches(x, '\d{{2}}:\d{{2}}(:\d{{2}}(\.\d+)?)?Z$') THEN 'UTC' ELSE regexp_extract(x, ':\d{{2}}(?:\.\d+)?\s+([A-Z]{{3,4}}|[A-Z][a-z]+/[A-Za-z_]+)$', 1) END AS z,
@@ -91,16 +91,16 @@ _INSTANTS = rf"""
     merged AS (SELECT coalesce(nullif(upper(regexp_replace(visit_id, '[^\p{{L}}\p{{N}}]', '', 'g')), ''), 'row ' || row_id) AS visit, max(nurse_id) AS nurse_id, max(s.utc_ms) AS s, max(e.utc_ms) AS e
         FROM visits LEFT JOIN (SELECT * FROM parsed WHERE field = 'visit_start_time') s USING (row_id) LEFT JOIN (SELECT * FROM parsed WHERE field = 'visit_end_time') e USING (row_id) GROUP BY 1)"""
 ORACLE = {
-    "p2_found": f"""WITH {_INSTANTS}, opened AS (SELECT nurse_id, s, CASE WHEN s - lag(s) OVER (PARTITION BY nurse_id ORDER BY s) <= 7200000 THEN 0 ELSE 1 END AS o FROM merged WHERE nurse_id IS NOT NULL AND s IS NOT NULL),
+    "p2_found": f"""WITH {INSTANTS}, opened AS (SELECT nurse_id, s, CASE WHEN s - lag(s) OVER (PARTITION BY nurse_id ORDER BY s) <= 7200000 THEN 0 ELSE 1 END AS o FROM merged WHERE nurse_id IS NOT NULL AND s IS NOT NULL),
         numbered AS (SELECT *, sum(o) OVER (PARTITION BY nurse_id ORDER BY s ROWS UNBOUNDED PRECEDING) AS k FROM opened)
         SELECT nurse_id, min(s) AS start_ms, max(s) AS end_ms, count(*) AS visit_count FROM numbered GROUP BY nurse_id, k""",
-    "p3_found": f"""WITH {_INSTANTS}, kept AS (SELECT * FROM merged WHERE nurse_id IS NOT NULL AND s IS NOT NULL AND e >= s),
+    "p3_found": f"""WITH {INSTANTS}, kept AS (SELECT * FROM merged WHERE nurse_id IS NOT NULL AND s IS NOT NULL AND e >= s),
         opened AS (SELECT nurse_id, s, e, CASE WHEN s <= max(e) OVER (PARTITION BY nurse_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS o FROM kept),
         numbered AS (SELECT *, sum(o) OVER (PARTITION BY nurse_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS k FROM opened),
         periods AS (SELECT nurse_id, min(s) AS s, max(e) AS e FROM numbered GROUP BY nurse_id, k),
         followed AS (SELECT *, lead(s) OVER (PARTITION BY nurse_id ORDER BY s) AS n FROM periods)
         SELECT nurse_id, 'period' AS kind, s AS start_ms, e AS end_ms FROM periods UNION ALL SELECT nurse_id, 'gap', e, n FROM followed WHERE n - e <= 43200000""",
-    "p5_found": f"WITH {_INSTANTS} SELECT row_id, field, utc_ms FROM parsed WHERE utc_ms IS NOT NULL",
+    "p5_found": f"WITH {INSTANTS} SELECT row_id, field, utc_ms FROM parsed WHERE utc_ms IS NOT NULL",
     "p7_found": """
         SELECT row_id, 'review_scores_rating' AS field FROM listings
         WHERE review_scores_rating IS NULL OR isnan(review_scores_rating)
