@@ -14,6 +14,7 @@ from tidemark.llm.notes import grade
 from tidemark.llm.residue import residue
 from tidemark.llm.sketch import log_sketch, merge_sketches, sketch_percentiles
 from tidemark.llm.truth import discover
+from tidemark.plans.problems import INSTANTS
 from tidemark.plans.visits import visit_key, with_feed
 from tidemark.session import cut, load
 
@@ -36,42 +37,67 @@ def p1_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(*AREA, "n", *[F.round(c, 6).alias(c) for c in found.columns[3:]])
 
 
-def _survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Winners of all fields of the visits that have several rows."""
-    visits = load(spark, sf_dir, "visits").withColumn("grp", visit_key()).where("grp is not null")
-    repeated = visits.groupBy("grp").count().where("count > 1").select("grp")
-    rows = cut(visits.join(repeated, "grp", "left_semi"))
-    feeds = load(spark, sf_dir, "feeds")
-    timed = with_instant(with_feed(spark, sf_dir, rows), "visit_start_time", "tz_name", "date_order", "start_ms")
-    timed = with_instant(timed, "visit_end_time", "tz_name", "date_order", "end_ms")
+def _repeated(spark: SparkSession, sf_dir: str, columns: list[str]) -> DataFrame:
+    """The named columns of the rows of visits that share their visit id (as ``grp``) with another row."""
+    visits = load(spark, sf_dir, "visits").select(visit_key().alias("grp"), *columns).where("grp is not null")
+    return visits.join(visits.groupBy("grp").count().where("count > 1").select("grp"), "grp", "left_semi")
 
+
+def _claims(rows: DataFrame, *fields) -> DataFrame:
+    """What rows (with grp, feed_id, loaded_at, row_id) claim: fields as structs of field, value and grade."""
     common = [F.col("feed_id").alias("source"), F.unix_micros(F.col("loaded_at").cast("timestamp")).alias("recency"), F.col("row_id").alias("place")]
-    plain = [F.struct(F.lit(f).alias("field"), F.col(c).cast("string").alias("value"), F.lit(0).alias("grade")) for f, c in (("nurse_id", "nurse_id"), ("patient_id", "patient_id"), ("visit_start_time", "start_ms"), ("visit_end_time", "end_ms"))]
-    note = F.struct(F.lit("nurse_notes").alias("field"), F.col("row_id").cast("string").alias("value"), grade(F.col("nurse_notes")).alias("grade"))
-    claims = timed.select("grp", *common, F.inline(F.array(*plain, note)))
-    typed = rows.select("row_id", F.inline(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("value")) for c in ("service_type", "visit_location")])))
-    mapped = map_values(typed, "row_id", "field", "value", load(spark, sf_dir, "canonical_values"), "field", "canonical_value", "short_code")
-    meant = typed.where("trim(value) <> ''").join(mapped, ["row_id", "field"], "left").select("row_id", "field", F.nullif(F.coalesce("canonical", "value"), F.lit(UNMATCHED)).alias("value"))
-    claims = claims.unionByName(rows.select("grp", "row_id", *common).join(meant, "row_id").select("grp", "source", "recency", "place", "field", "value", F.lit(0).alias("grade")))
-    priors = feeds.select(F.col("feed_id").alias("source"), (1.0 / (1 + F.col("trust_rank"))).alias("prior"))
-    return discover(claims, priors, pinned=("nurse_notes",))[0]
+    return rows.select("grp", *common, F.inline(F.array(*fields)))
+
+
+def _plain(field: str, column: str):
+    return F.struct(F.lit(field).alias("field"), F.col(column).cast("string").alias("value"), F.lit(0).alias("grade"))
+
+
+def _note():
+    return F.struct(F.lit("nurse_notes").alias("field"), F.col("row_id").cast("string").alias("value"), grade(F.col("nurse_notes")).alias("grade"))
+
+
+def _priors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir, "feeds").select(F.col("feed_id").alias("source"), (1.0 / (1 + F.col("trust_rank"))).alias("prior"))
+
+
+def _wide(winners: DataFrame, fields: list[str]) -> DataFrame:
+    return winners.groupBy("grp").pivot("field", fields).agg(F.first("value"))
 
 
 def p4_golden(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One record for each visit with several rows, every field by its best supported value; notes_row_id holds the note kept."""
+    """One record for each visit with several rows, every field by its best supported value; notes_row_id holds the note kept.
+
+    Services and locations are voted on by what they mean; a meaning beats a text that means nothing in the list.
+    """
+    columns = ["row_id", "nurse_id", "patient_id", "visit_start_time", "visit_end_time", "service_type", "visit_location", "nurse_notes", "feed_id", "loaded_at"]
+    rows = cut(_repeated(spark, sf_dir, columns))
+    timed = with_instant(with_feed(spark, sf_dir, rows), "visit_start_time", "tz_name", "date_order", "start_ms")
+    timed = with_instant(timed, "visit_end_time", "tz_name", "date_order", "end_ms")
+    claims = _claims(timed, _plain("nurse_id", "nurse_id"), _plain("patient_id", "patient_id"), _plain("visit_start_time", "start_ms"), _plain("visit_end_time", "end_ms"), _note())
+    typed = rows.select("row_id", F.inline(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("value")) for c in ("service_type", "visit_location")])))
+    mapped = map_values(typed, "row_id", "field", "value", load(spark, sf_dir, "canonical_values"), "field", "canonical_value", "short_code")
+    meant = typed.where("trim(value) <> ''").join(mapped, ["row_id", "field"], "left").select("row_id", "field", F.nullif(F.coalesce("canonical", "value"), F.lit(UNMATCHED)).alias("value"))
+    claims = claims.unionByName(_claims(rows.join(meant, "row_id"), F.struct("field", "value", F.lit(0).alias("grade"))))
     fields = ["nurse_id", "patient_id", "visit_start_time", "visit_end_time", "service_type", "visit_location", "nurse_notes"]
-    wide = _survivors(spark, sf_dir).groupBy("grp").pivot("field", fields).agg(F.first("value"))
+    wide = _wide(discover(claims, _priors(spark, sf_dir), pinned=("nurse_notes",))[0], fields)
     times = [F.col(c).cast("bigint").alias(a) for c, a in (("visit_start_time", "start_ms"), ("visit_end_time", "end_ms"), ("nurse_notes", "notes_row_id"))]
     return wide.select(F.col("grp").alias("visit_id"), "nurse_id", "patient_id", "service_type", "visit_location", *times)
 
 
+def p4_known(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fields of the golden record on which SQL can be asked: people, times and the note kept."""
+    return p4_golden(spark, sf_dir).drop("service_type", "visit_location")
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The row whose note survives, for each visit with several rows of which one tells something.
 
-    The order of notes is fixed from outside (content, rank of the feed, arrival, row): the discovery takes content as the
-    grade and the feeds' ranks as pinned weights of this field, so its learned weights decide the other fields only.
+    The order of notes is fixed from outside (content, rank of the feed, arrival, row): content is the grade of a claim and the
+    feeds' ranks are the pinned weights of this field. It leaves no ties, so there is nothing for rounds to learn.
     """
-    won = _survivors(spark, sf_dir).where("field = 'nurse_notes' and grade > 0")
+    rows = _repeated(spark, sf_dir, ["row_id", "nurse_notes", "feed_id", "loaded_at"])
+    won = discover(_claims(rows, _note()), _priors(spark, sf_dir), pinned=("nurse_notes",), rounds=0)[0].where("grade > 0")
     return won.select(F.col("grp").alias("visit_id"), F.col("value").cast("bigint").alias("row_id"))
 
 
@@ -98,7 +124,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue(load(spark, sf_dir, "documents"), "doc_id", "text", "source").select("doc_id")
 
 
-QUERIES = {"p1_percentiles": p1_percentiles, "p1_scrapes": p1_scrapes, "p4_found": p4_found, "p4_golden": p4_golden, "p6_found": p6_found, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found}
+QUERIES = {"p1_percentiles": p1_percentiles, "p1_scrapes": p1_scrapes, "p4_found": p4_found, "p4_golden": p4_golden, "p4_known": p4_known, "p6_found": p6_found, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found}
 
 _AMOUNT = r"""
     bare AS (SELECT *, regexp_replace(upper(price), '[\s\p{Z}]|ZAR|R|\$|€|£', '', 'g') AS b FROM listings),
@@ -121,6 +147,15 @@ ORACLE = {
             FROM keyed LEFT JOIN feeds USING (feed_id) WHERE k <> ''),
         ranked AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY grade DESC, rank, loaded_at DESC, row_id) AS place FROM graded WHERE rows_of > 1)
         SELECT k AS visit_id, row_id FROM ranked WHERE place = 1 AND grade > 0""",
+    "p4_known": rf"""WITH {INSTANTS},
+        keyed AS (SELECT v.*, s.utc_ms AS s, e.utc_ms AS e, upper(regexp_replace(visit_id, '[^\p{{L}}\p{{N}}]', '', 'g')) AS k, regexp_replace(lower(nurse_notes), '\s+', ' ', 'g') AS t FROM visits v
+            LEFT JOIN (SELECT * FROM parsed WHERE field = 'visit_start_time') s USING (row_id) LEFT JOIN (SELECT * FROM parsed WHERE field = 'visit_end_time') e USING (row_id)),
+        graded AS (SELECT keyed.*, coalesce(trust_rank, 1000000) AS rank, count(*) OVER (PARTITION BY k) AS rows_of,
+            CAST(coalesce(regexp_matches(t, '\bthe nurse [a-z]+ed the [a-z][^.;,:]*[a-z] ?[.;,]') OR regexp_matches(t, '(^|; |\. )nurse [a-z]+ed [a-z][^.;,:]*[a-z] ?([.;,]|$)') OR regexp_matches(t, '^[a-z][^.;,:]* [a-z]+ed by nurse\.'), false) AS INTEGER)
+            + CAST(coalesce(regexp_matches(t, '\b(patient|pt) (is )?(stable|improving|comfortable|restless|weak|dizzy|in pain)\b'), false) AS INTEGER) AS grade
+            FROM keyed LEFT JOIN feeds USING (feed_id) WHERE k <> ''),
+        placed AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY grade DESC, rank, loaded_at DESC, row_id) AS place FROM graded WHERE rows_of > 1)
+        SELECT k AS visit_id, max(nurse_id) AS nurse_id, max(patient_id) AS patient_id, max(s) AS start_ms, max(e) AS end_ms, max(row_id) FILTER (place = 1) AS notes_row_id FROM placed GROUP BY 1""",
     "p9_found": r"""WITH texts AS (SELECT 'd' AS side, doc_id AS id, text FROM documents UNION ALL SELECT 'b', item_id, text FROM benchmark),
         split AS (SELECT side, id, regexp_extract_all(lower(strip_accents(regexp_replace(text, '[\p{Cf}\p{M}]', '', 'g'))), '[\p{L}\p{N}]+') AS w FROM texts WHERE text IS NOT NULL),
         grams AS (SELECT DISTINCT side, id, gram FROM (SELECT side, id, unnest(list_transform(generate_series(1, len(w) - 9), lambda i: array_to_string(w[i:i + 9], ' '))) AS gram FROM split WHERE len(w) >= 10))
