@@ -3,7 +3,7 @@ import unicodedata
 
 import pytest
 
-from tidemark.llm.leakage import leaked_items, words
+from tidemark.llm.leakage import build_index, leaked_items, search_index, words
 
 
 def brute(docs, items, length):
@@ -34,7 +34,7 @@ def test_against_brute_force(spark, seed, blocks):
     sentence = lambda n: " ".join(rnd.choice(vocabulary) for _ in range(n))
     items = [(k, sentence(rnd.randrange(2, 12))) for k in range(40)] + [(99, None), (98, ""), (None, sentence(9)), (0, items_text := sentence(8))]
     docs = [(k, sentence(rnd.randrange(0, 90)) if rnd.random() < 0.8 else f"{sentence(5)} {items_text} {sentence(5)}") for k in range(120)] + [(500, None), (501, ""), (502, items_text), (502, items_text)]
-    got = run(spark, docs, items, length=4, block_chars=blocks)
+    got = run(spark, docs, items, length=4, block_bytes=blocks)
     assert set(got) == brute(docs, [x for x in items if x[0] is not None], 4) and all(got.values())
 
 
@@ -56,3 +56,34 @@ def test_proximity(spark):
     got = run(spark, docs, [(7, item)], length=6, slop=2)
     assert got == {(1, 7): False, (4, 7): True}
     assert set(run(spark, docs, [(7, item)], length=5, slop=1)) == {(4, 7), (5, 7)}
+
+
+def test_index_is_stored_once_for_any_number_of_items(spark):
+    rnd = random.Random(8)
+    sentence = lambda n: " ".join(rnd.choice(["oil", "rope", "Deck", "é", "sail", "42"]) for _ in range(n))
+    docs = [(k, sentence(rnd.randrange(60))) for k in range(90)] + [(200, None), (201, "?!")]
+    index = build_index(spark.createDataFrame(docs, "doc bigint, body string").repartition(2), "doc", "body", segment_bytes=600)
+    assert index.count() > 10 and "Scan parquet" in index._jdf.queryExecution().executedPlan().toString()
+    for n in (1, 30):
+        items = [(k, sentence(9)) for k in range(n)]
+        got = {(r._doc, r._item) for r in search_index(index, spark.createDataFrame(items, "i bigint, t string"), "i", "t", length=5).collect()}
+        assert got == brute(docs, items, 5)
+
+
+def test_proximity_against_brute_force(spark):
+    rnd = random.Random(3)
+    sentence = lambda n: " ".join(rnd.choice("abcdef") for _ in range(n))
+    docs, items = [(k, sentence(40)) for k in range(60)], [(k, sentence(7)) for k in range(25)]
+
+    def near(v, w, slop):
+        def span(at, k):
+            if k == len(w):
+                return at
+            nxt = next((j for j in range(at + 1, len(v)) if v[j] == w[k]), None)
+            return None if nxt is None else span(nxt, k + 1)
+
+        return any((end := span(b, 1)) is not None and end - b < len(w) + slop for b in range(len(v)) if v[b] == w[0])
+
+    want = {(d, i) for d, text in docs for i, t in items if any(near(text.split(), t.split()[k : k + 5], 2) for k in range(3))}
+    got = run(spark, docs, items, length=5, slop=2)
+    assert set(got) == want and {p for p, e in got.items() if e} == brute(docs, items, 5)

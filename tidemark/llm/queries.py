@@ -118,13 +118,18 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaked_items(load(spark, sf_dir, "documents"), "doc_id", "text", load(spark, sf_dir, "benchmark"), "item_id", "text").select("doc_id", "item_id")
 
 
+def p9_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold ten words of an item in order with at most one other word between them; exact where there is none."""
+    return leaked_items(load(spark, sf_dir, "documents"), "doc_id", "text", load(spark, sf_dir, "benchmark"), "item_id", "text", slop=1)
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that are template residue, filler, an error page or a script notice, or have some of it left beside real content,
     after the links that recur in most documents of a source are subtracted."""
     return residue(load(spark, sf_dir, "documents"), "doc_id", "text", "source").select("doc_id")
 
 
-QUERIES = {"p1_percentiles": p1_percentiles, "p1_scrapes": p1_scrapes, "p4_found": p4_found, "p4_golden": p4_golden, "p4_known": p4_known, "p6_found": p6_found, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found}
+QUERIES = {"p1_percentiles": p1_percentiles, "p1_scrapes": p1_scrapes, "p4_found": p4_found, "p4_golden": p4_golden, "p4_known": p4_known, "p6_found": p6_found, "p8_ids": p8_ids, "p9_found": p9_found, "p9_near": p9_near, "p10_found": p10_found}
 
 _AMOUNT = r"""
     bare AS (SELECT *, regexp_replace(upper(price), '[\s\p{Z}]|ZAR|R|\$|€|£', '', 'g') AS b FROM listings),
@@ -160,4 +165,12 @@ ORACLE = {
         split AS (SELECT side, id, regexp_extract_all(lower(strip_accents(regexp_replace(text, '[\p{Cf}\p{M}]', '', 'g'))), '[\p{L}\p{N}]+') AS w FROM texts WHERE text IS NOT NULL),
         grams AS (SELECT DISTINCT side, id, gram FROM (SELECT side, id, unnest(list_transform(generate_series(1, len(w) - 9), lambda i: array_to_string(w[i:i + 9], ' '))) AS gram FROM split WHERE len(w) >= 10))
         SELECT DISTINCT d.id AS doc_id, b.id AS item_id FROM grams d JOIN grams b USING (gram) WHERE d.side = 'd' AND b.side = 'b'""",
+    "p9_near": r"""WITH texts AS (SELECT 'd' AS side, doc_id AS id, text FROM documents UNION ALL SELECT 'b', item_id, text FROM benchmark),
+        split AS (SELECT side, id, regexp_extract_all(lower(strip_accents(regexp_replace(text, '[\p{Cf}\p{M}]', '', 'g'))), '[\p{L}\p{N}]+') AS w FROM texts WHERE text IS NOT NULL),
+        grams AS (SELECT DISTINCT side, id, gram FROM (SELECT side, id, unnest(list_transform(generate_series(1, len(w) - 9), lambda i: array_to_string(w[i:i + 9], ' '))) AS gram FROM split WHERE len(w) >= 10)),
+        -- eleven words of which one within is left out
+        loose AS (SELECT DISTINCT id, array_to_string(list_concat(w[i:i + k], w[i + k + 2:i + 10]), ' ') AS gram FROM (SELECT id, w, unnest(generate_series(1, len(w) - 10)) AS i FROM split WHERE side = 'd' AND len(w) >= 11), generate_series(0, 8) t(k)),
+        found AS (SELECT d.id AS doc_id, b.id AS item_id, true AS exact FROM grams d JOIN grams b USING (gram) WHERE d.side = 'd' AND b.side = 'b'
+            UNION ALL SELECT d.id, b.id, false FROM loose d JOIN grams b USING (gram) WHERE b.side = 'b')
+        SELECT doc_id, item_id, bool_or(exact) AS exact FROM found GROUP BY ALL""",
 }
