@@ -37,10 +37,19 @@ def p1_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(*AREA, "n", *[F.round(c, 6).alias(c) for c in found.columns[3:]])
 
 
+#: Parts into which the rows of a visit are spread until they are combined.
+SALTS = 16
+
+
 def _repeated(spark: SparkSession, sf_dir: str, columns: list[str]) -> DataFrame:
-    """The named columns of the rows of visits that share their visit id (as ``grp``) with another row."""
+    """The named columns (row_id among them) of the rows of visits that share their visit id (as ``grp``) with another row.
+
+    Rows are joined by visit id and a salt, so that an id that holds a third of all rows fills many tasks.
+    """
     visits = load(spark, sf_dir, "visits").select(visit_key().alias("grp"), *columns).where("grp is not null")
-    return visits.join(visits.groupBy("grp").count().where("count > 1").select("grp"), "grp", "left_semi")
+    repeated = visits.groupBy("grp").count().where("count > 1").select("grp", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    salted = visits.withColumn("_salt", F.pmod(F.xxhash64("row_id"), F.lit(SALTS)).cast("int"))
+    return salted.join(repeated, ["grp", "_salt"], "left_semi").drop("_salt")
 
 
 def _claims(rows: DataFrame, *fields) -> DataFrame:
