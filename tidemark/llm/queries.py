@@ -26,7 +26,7 @@ SHARES = (0.05, 0.25, 0.5, 0.75, 0.95)
 def p1_scrapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sketches of prices by month of scrape, neighbourhood and room type: what is kept of a scrape to be combined later."""
     # One generated row each, so that the filter does not parse the price a second time.
-    priced = load(spark, sf_dir, "listings").select(*AREA, F.date_format("last_scraped", "yyyy-MM").alias("scrape"), F.explode(F.array(amount(F.col("price")))).alias("amount")).where("amount > 0")
+    priced = load(spark, sf_dir, "listings").select(*AREA, F.date_format("last_scraped", "yyyy-MM").alias("scrape"), F.explode(F.array(amount(F.col("price")))).alias("amount")).where("amount is not null")
     return log_sketch(priced, ["scrape", *AREA], "amount")
 
 
@@ -144,13 +144,13 @@ _AMOUNT = r"""
     bare AS (SELECT *, regexp_replace(upper(price), '[\s\p{Z}]|ZAR|R|\$|€|£', '', 'g') AS b FROM listings),
     dotted AS (SELECT *, CASE WHEN regexp_matches(b, '^-?[0-9]+(\.[0-9]{3})*,[0-9]{1,2}$') THEN replace(replace(b, '.', ''), ',', '.') ELSE replace(b, ',', '') END AS d FROM bare),
     priced AS (SELECT *, CASE WHEN regexp_matches(d, '^-?[0-9]+(\.[0-9]+)?$') THEN CAST(d AS DOUBLE) END AS amount FROM dotted),
-    bucketed AS (SELECT strftime(last_scraped, '%Y-%m') AS scrape, neighbourhood_cleansed, room_type, CAST(1 AS INTEGER) AS sign,
-        CAST(ceil(ln(amount) / ln(1.01::DOUBLE / 0.99::DOUBLE)) AS INTEGER) AS bucket FROM priced WHERE amount > 0)"""
+    bucketed AS (SELECT strftime(last_scraped, '%Y-%m') AS scrape, neighbourhood_cleansed, room_type, CAST(sign(amount) AS INTEGER) AS sign,
+        CASE WHEN amount = 0 THEN 0 ELSE CAST(ceil(ln(abs(amount)) / ln(1.01::DOUBLE / 0.99::DOUBLE)) AS INTEGER) END AS bucket FROM priced WHERE amount IS NOT NULL)"""
 ORACLE = {
     "p1_scrapes": f"WITH {_AMOUNT} SELECT scrape, neighbourhood_cleansed, room_type, sign, bucket, count(*) AS n FROM bucketed GROUP BY ALL",
     "p1_percentiles": f"""WITH {_AMOUNT},
-        ranked AS (SELECT neighbourhood_cleansed, room_type, pow(1.01::DOUBLE / 0.99::DOUBLE, bucket) * 2 / (1.01::DOUBLE / 0.99::DOUBLE + 1) AS v,
-            row_number() OVER (PARTITION BY neighbourhood_cleansed, room_type ORDER BY bucket) - 1 AS r, count(*) OVER (PARTITION BY neighbourhood_cleansed, room_type) AS n FROM bucketed)
+        ranked AS (SELECT neighbourhood_cleansed, room_type, sign * pow(1.01::DOUBLE / 0.99::DOUBLE, bucket) * 2 / (1.01::DOUBLE / 0.99::DOUBLE + 1) AS v,
+            row_number() OVER (PARTITION BY neighbourhood_cleansed, room_type ORDER BY sign, sign * bucket) - 1 AS r, count(*) OVER (PARTITION BY neighbourhood_cleansed, room_type) AS n FROM bucketed)
         SELECT neighbourhood_cleansed, room_type, max(n) AS n, """
     + ", ".join(f"round(max(v) FILTER (r = floor({q}::DOUBLE * (n - 1))), 6) AS p{round(q * 100)}" for q in SHARES)
     + " FROM ranked GROUP BY ALL",
