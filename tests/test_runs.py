@@ -111,3 +111,27 @@ def test_blocks_are_canonical():
         assert not any((a ^ (1 << n), n) in blocks for a, n in blocks if n < 10)  # no siblings left
         spans = [(a, b) for q, a, b in zip(*adjacent_joined(*merged)) if q == k]
         assert all(b < c for (_, b), (c, _) in zip(spans, spans[1:]))
+
+
+def test_an_interval_of_any_length_is_three_rows(spark, uncoalesced):
+    # A mistyped year makes one visit last for 8,000 years; a third of all others belong to one nurse and lie within one stretch.
+    rows = [("hot", k * 10, k * 10 + 4) for k in range(400)] + [(f"n{k % 40}", k * 10**8, k * 10**8 + 10**9) for k in range(800)] + [("n7", 5, 253_402_300_799_999), ("late", 253_402_300_799_000, 253_402_300_799_999)]
+    df = spark.createDataFrame(rows, "k string, s bigint, e bigint").repartition(4)
+    spark.conf.set("spark.sql.shuffle.partitions", "13")
+    try:
+        found = periods_and_gaps(df, "k", "s", "e")
+        assert sorted(tuple(r) for r in found.collect()) == periods_of(rows, None)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_long_blocks_over_partition_borders(spark, uncoalesced, seed):
+    rnd = random.Random(seed + 50)
+    rows = [(rnd.choice("ab"), s := rnd.randrange(3000), s + rnd.choice([1, 3, 20, 90, 400, 1500])) for _ in range(150)] + [("a", k, k) for k in range(5000, 9000, 7)] + [("a", 5500, 8000), ("a", 8300, 8301)]
+    df = spark.createDataFrame(rows, "k string, s bigint, e bigint")
+    spark.conf.set("spark.sql.shuffle.partitions", "19")
+    try:
+        assert sorted(tuple(r) for r in periods_and_gaps(df, "k", "s", "e", stretch=5).collect()) == periods_of(rows, None)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")

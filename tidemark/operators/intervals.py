@@ -2,8 +2,10 @@
 
 Each interval is decomposed into canonical dyadic blocks (2^l units long, at multiples of their length). Blocks covered by an
 ancestor are removed, pairs of siblings are merged into their parent from the bottom up, and adjacent blocks are put together.
-Work is spread by key and aligned stretch of time, so one key with a third of all rows fills many tasks; an interval that
-crosses stretches is cut at their borders, which are block borders anyway, and the pieces are joined again by ``runs``.
+An interval is cut at the borders of aligned stretches, which are block borders anyway, into at most three pieces however long it
+is: its ends, and the whole stretches between them, which stay one row of higher blocks. Pieces are range-partitioned by key and
+begin, so a key with a third of all rows, even in a single stretch, fills many tasks; each sorted partition is scanned once.
+Where a block of an earlier partition covers blocks of a later one, these are removed, and pieces are joined again by ``runs``.
 
 Bounds are doubled: [s, e] becomes the units 2s .. 2e, closed. Intervals that touch share a unit; intervals with time
 between them do not, even a single millisecond; an interval of no length is one unit.
@@ -18,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.runs import coalesce_runs
+from tidemark.operators.runs import runs_of_sorted
 
 #: Exponent of the length of a stretch in doubled units: 2^30 half milliseconds are 6.2 days.
 STRETCH = 30
@@ -101,38 +103,50 @@ def _cover(group: np.ndarray, lo: np.ndarray, hi: np.ndarray, top: int) -> tuple
 
 def _coverer(top: int):
     def cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows sorted by key and stretch; blocks of the stretch still open are carried on, those of finished ones leave."""
+        """Pieces sorted by key and begin; blocks of the stretch still open are carried on, those of finished ones leave.
+
+        Whole stretches pass as they are, as a group of their own.
+        """
         carried: tuple | None = None
-        out = pa.schema([("key", pa.string()), ("lo", pa.int64()), ("hi", pa.int64())])
+
+        def batch_of(keys: pa.Array, lo: np.ndarray, hi: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([keys, pa.array(lo), pa.array(hi), pa.array(np.ones(len(lo), np.int64))], names=["key", "lo", "hi", "n"])
+
+        def finished() -> pa.RecordBatch:
+            name, _, (s, l) = carried  # noqa: E741
+            _, a, b = adjacent_joined(np.zeros(len(s), np.int64), s, l)
+            return batch_of(pa.array([name] * len(a), pa.string()), a, b)
+
         for batch in batches:
             if not batch.num_rows:
                 continue
             column = dict(zip(batch.schema.names, batch.columns, strict=True))
-            keys, stretch = column["key"].cast(pa.string()), np.asarray(column["stretch"])
-            lo, hi = np.asarray(column["lo"]), np.asarray(column["hi"])
+            keys, lo, hi = column["key"].cast(pa.string()), np.asarray(column["lo"]), np.asarray(column["hi"])
+            stretch = np.where(hi - lo >= 1 << top, -1, lo >> top)
             codes = np.asarray(keys.dictionary_encode().indices)
             group = np.cumsum(np.r_[0, ((codes[1:] != codes[:-1]) | (stretch[1:] != stretch[:-1])).astype(np.int64)])
-            blocks = dyadic_blocks(group, lo, hi, top)
             first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
             names = keys.take(pa.array(first))
-            closed = None
+            whole = stretch == -1
+            blocks = dyadic_blocks(group[~whole], lo[~whole], hi[~whole], top)
             if carried is not None:
                 name, at, (s, l) = carried  # noqa: E741
-                if name == names[0].as_py() and at == stretch[0]:
+                if name == names[0].as_py() and at == stretch[0] != -1:
                     blocks = tuple(np.r_[a, b] for a, b in zip(blocks, (np.zeros(len(s), np.int64), s, l), strict=True))
                 else:
-                    closed = adjacent_joined(np.zeros(len(s), np.int64), s, l)
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(closed[0]), pa.string()), pa.array(closed[1]), pa.array(closed[2])], schema=out)
+                    yield finished()
+                carried = None
             g, s, l = merge_siblings(*without_covered(*blocks), top)  # noqa: E741
-            last = g == group[-1]
-            carried = (names[len(first) - 1].as_py(), stretch[-1], (s[last], l[last]))
+            last = (g == group[-1]) if not whole[-1] else np.zeros(len(g), bool)
+            if not whole[-1]:
+                carried = (names[len(first) - 1].as_py(), stretch[-1], (s[last], l[last]))
             g, a, b = adjacent_joined(g[~last], s[~last], l[~last])
+            g, a, b = np.r_[g, group[whole]], np.r_[a, lo[whole]], np.r_[b, hi[whole]]
+            order = np.lexsort((a, g))
             if len(g):
-                yield pa.RecordBatch.from_arrays([names.take(pa.array(g)), pa.array(a), pa.array(b)], schema=out)
+                yield batch_of(names.take(pa.array(g[order])), a[order], b[order])
         if carried is not None:
-            name, _, (s, l) = carried  # noqa: E741
-            g, a, b = adjacent_joined(np.zeros(len(s), np.int64), s, l)
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(g), pa.string()), pa.array(a), pa.array(b)], schema=out)
+            yield finished()
 
     return cover
 
@@ -143,14 +157,17 @@ def periods_and_gaps(intervals: DataFrame, key: str, start_ms: str, end_ms: str,
     Intervals that overlap, nest or touch belong to one period; an interval of no length counts as a point. Gaps longer than
     ``max_gap_ms`` are left out (all are given where it is None). Rows with a null key, start or end and rows that end before
     they start are left out; repeated rows change nothing; an empty table gives no rows. Other columns are not read.
-    ``stretch``: work is spread by pieces of 2^stretch half milliseconds.
+    ``stretch``: intervals are cut at multiples of 2^stretch half milliseconds.
     """
     rows = intervals.select(F.col(f"`{key}`").cast("string").alias("key"), F.col(f"`{start_ms}`").cast("bigint").alias("s"), F.col(f"`{end_ms}`").cast("bigint").alias("e")).where("key is not null and s is not null and e >= s")
     units = rows.select("key", (F.col("s") * 2).alias("lo"), (F.col("e") * 2 + 1).alias("hi"))
-    cut_up = units.select("key", "lo", "hi", F.explode(F.sequence(F.shiftright("lo", stretch), F.shiftright(F.col("hi") - 1, stretch))).alias("stretch"))
-    bounded = cut_up.select("key", "stretch", F.greatest("lo", F.shiftleft("stretch", stretch)).alias("lo"), F.least("hi", F.shiftleft(F.col("stretch") + 1, stretch)).alias("hi"))
-    pieces = bounded.repartition("key", "stretch").sortWithinPartitions("key", "stretch", "lo").mapInArrow(_coverer(stretch), "key string, lo bigint, hi bigint")
-    runs = coalesce_runs(pieces.withColumn("n", F.lit(1)), 0)
+    # The first border at or after the begin, and the last one at or before the end.
+    up, down = F.shiftleft(F.shiftright(F.col("lo") + ((1 << stretch) - 1), stretch), stretch), F.shiftleft(F.shiftright("hi", stretch), stretch)
+    piece = lambda a, b: F.struct(F.col(a).alias("lo"), F.col(b).alias("hi"))
+    crossing = F.filter(F.array(piece("lo", "_up"), piece("_up", "_down"), piece("_down", "hi")), lambda p: p["lo"] < p["hi"])
+    cut_up = units.select("key", "lo", "hi", up.alias("_up"), down.alias("_down")).select("key", F.inline(F.when(F.col("_up") <= F.col("_down"), crossing).otherwise(F.array(piece("lo", "hi")))))
+    placed = cut_up.repartitionByRange("key", "lo").sortWithinPartitions("key", "lo", "hi")
+    runs = runs_of_sorted(placed, 0, _coverer(stretch))
     end = F.shiftright(F.col("hi") - 1, 1)
     start = F.shiftright("lo", 1)
     gap_start = F.when(F.col("prev_hi").isNotNull(), F.shiftright(F.col("prev_hi") - 1, 1))

@@ -8,12 +8,13 @@ second, small step. All other runs leave the first step finished.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.session import cut
@@ -22,16 +23,18 @@ _SCHEMA = "key string, lo bigint, hi bigint, n bigint, prev_hi bigint, edge bool
 _ARROW = pa.schema([("key", pa.string()), ("lo", pa.int64()), ("hi", pa.int64()), ("n", pa.int64()), ("prev_hi", pa.int64()), ("edge", pa.bool_()), ("part", pa.int32()), ("place", pa.int32())])
 
 
-def _runs_of_batch(keys: list, lo: np.ndarray, hi: np.ndarray, n: np.ndarray, max_gap: int, carry: tuple | None):
-    """Runs of one sorted batch, the carried open run put in front: keys, lo, hi, n, and whether a run follows one of its key."""
+def _runs_of_batch(keys: pa.Array, lo: np.ndarray, hi: np.ndarray, n: np.ndarray, max_gap: int, carry: tuple | None):
+    """Runs of one sorted batch, the carried open run put in front: keys, lo, hi, n, and whether a run is the first of its key."""
     if carry is not None:
         keys, lo, hi, n = pa.concat_arrays([pa.array([carry[0]], pa.string()), keys]), np.r_[carry[1], lo], np.r_[carry[2], hi], np.r_[carry[3], n]
     codes = np.asarray(keys.dictionary_encode().indices)
     new_key = np.r_[True, codes[1:] != codes[:-1]]
-    opens = new_key | np.r_[True, lo[1:] - hi[:-1] > max_gap]
+    # How far the key's pieces have reached, since a piece may lie within one before it.
+    reach = pd.Series(hi).groupby(np.cumsum(new_key)).cummax().to_numpy()
+    opens = new_key | np.r_[True, lo[1:] - reach[:-1] > max_gap]
     at = np.flatnonzero(opens)
     last = np.r_[at[1:], len(lo)] - 1
-    return keys.take(pa.array(at)), lo[at], hi[last], np.add.reduceat(n, at), new_key[at]
+    return keys.take(pa.array(at)), lo[at], reach[last], np.add.reduceat(n, at), new_key[at]
 
 
 def _scanner(max_gap: int):
@@ -69,26 +72,64 @@ def _scanner(max_gap: int):
 def _joiner(max_gap: int):
     """The edge runs of all partitions in order, those that belong together made one."""
 
+    def batch_of(runs: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*runs, strict=True)) if runs else [[]] * 5
+        return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, [pa.string(), *[pa.int64()] * 4], strict=True)], names=["key", "lo", "hi", "n", "prev_hi"])
+
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_run, before = None, None
-        out: list[tuple] = []
+        open_run = None
         for batch in batches:
+            out: list[tuple] = []
             for r in batch.to_pylist():
                 if open_run is not None and r["key"] == open_run[0] and r["lo"] - open_run[2] <= max_gap:
-                    open_run = (open_run[0], open_run[1], r["hi"], open_run[3] + r["n"], open_run[4])
+                    open_run = (open_run[0], open_run[1], max(open_run[2], r["hi"]), open_run[3] + r["n"], open_run[4])
                     continue
                 if open_run is not None:
                     out.append(open_run)
                 before = open_run[2] if open_run is not None and open_run[0] == r["key"] and r["prev_hi"] is None else r["prev_hi"]
                 open_run = (r["key"], r["lo"], r["hi"], r["n"], before)
-        if open_run is not None:
-            out.append(open_run)
-        columns = list(zip(*out, strict=True)) if out else [[]] * 5
-        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, [pa.string(), *[pa.int64()] * 4], strict=True)], names=["key", "lo", "hi", "n", "prev_hi"])
+            yield batch_of(out)
+        yield batch_of([open_run] if open_run is not None else [])
 
     return join
 
 
+def _without_reached(pieces: DataFrame, max_gap: int) -> DataFrame:
+    """Runs that a piece of an earlier partition reaches over marked as edges, those that lie within it put together.
+
+    How far an earlier partition reaches is known from its last run: one row for each partition.
+    """
+    edges = pieces.where("edge").select("part", "key", "hi", "place")
+    first = edges.groupBy("part").agg(F.min_by("key", "place").alias("_first"))
+    reached = edges.where("place = 2").withColumn("_far", F.max("hi").over(Window.partitionBy("key").orderBy("part")))
+    ordered = Window.orderBy("part")
+    before = reached.select("part", F.lag("key").over(ordered).alias("_key"), F.lag("_far").over(ordered).alias("_far"))
+    carried = before.join(first, "part").where("_key = _first").select(F.col("part").alias("_part"), "_key", "_far")
+    held = pieces.join(F.broadcast(carried), (F.col("part") == F.col("_part")) & (F.col("key") == F.col("_key")), "left")
+    near = F.coalesce(F.col("lo") - F.col("_far") <= max_gap, F.lit(False))
+    held = held.withColumn("_within", ~F.col("edge") & near & (F.col("hi") <= F.col("_far"))).withColumn("edge", F.col("edge") | near)
+    held = held.withColumn("prev_hi", F.when(near | F.col("prev_hi").isNull(), F.col("prev_hi")).otherwise(F.greatest("prev_hi", "_far")))
+    columns = ["key", "lo", "hi", "n", "prev_hi", "edge", "part", "place"]
+    inside = held.where("_within").groupBy("key", "part").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("n"))
+    inside = inside.select("key", "lo", "hi", "n", F.lit(None).cast("bigint").alias("prev_hi"), F.lit(True).alias("edge"), "part", F.lit(1).alias("place"))
+    return held.where("not _within").select(*columns).unionAll(inside.select(*columns))
+
+
+def runs_of_sorted(placed: DataFrame, max_gap: int, before: Callable | None = None) -> DataFrame:
+    """Runs of rows that are range-partitioned and sorted by key and position; ``before`` maps the batches of a partition first.
+
+    With ``before``, pieces may overlap and lie within each other, as long as they come in order of their begins.
+    """
+    scan = _scanner(max_gap)
+    step = scan if before is None else lambda batches: scan(before(batches))
+    # The runs are few beside the rows; written once, they are read twice, and what made them does not run again.
+    pieces = cut(placed.mapInArrow(step, _SCHEMA))
+    if before is not None:
+        pieces = _without_reached(pieces, max_gap)
+    edges = pieces.where("edge").repartition(1).sortWithinPartitions("key", "lo", "part", "place").mapInArrow(_joiner(max_gap), "key string, lo bigint, hi bigint, n bigint, prev_hi bigint")
+    return pieces.where("not edge").select("key", "lo", "hi", "n", "prev_hi").unionAll(edges)
+
+
 def coalesce_runs(df: DataFrame, max_gap: int, partitions: int | None = None) -> DataFrame:
     """Runs of the rows (key string, lo bigint, hi bigint, n bigint): key, lo, hi, n, prev_hi.
 
@@ -99,7 +140,4 @@ def coalesce_runs(df: DataFrame, max_gap: int, partitions: int | None = None) ->
     """
     rows = df.select(F.col("key").cast("string"), F.col("lo").cast("bigint"), F.col("hi").cast("bigint"), F.col("n").cast("bigint")).where("key is not null and lo is not null and hi is not null")
     placed = rows.repartitionByRange(partitions, "key", "lo") if partitions else rows.repartitionByRange("key", "lo")
-    # The runs are few beside the rows; written once, they are read twice, and what made them does not run again.
-    pieces = cut(placed.sortWithinPartitions("key", "lo", "hi").mapInArrow(_scanner(max_gap), _SCHEMA))
-    edges = pieces.where("edge").repartition(1).sortWithinPartitions("key", "lo", "part", "place").mapInArrow(_joiner(max_gap), "key string, lo bigint, hi bigint, n bigint, prev_hi bigint")
-    return pieces.where("not edge").select("key", "lo", "hi", "n", "prev_hi").unionAll(edges)
+    return runs_of_sorted(placed.sortWithinPartitions("key", "lo", "hi"), max_gap)
