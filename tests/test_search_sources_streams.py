@@ -38,7 +38,7 @@ CHAT = "[09:00] ann: keep this between us\n[09:05] bob: ok\r\n[09:10] ann: 10 do
 def test_conversations(spark):
     turns = search.chat_turns(spark.createDataFrame([(1, CHAT), (2, None), (3, "")], "id int, t string"), "id", "t")
     assert [(r.turn, r.minute, r.speaker) for r in turns.orderBy("turn").collect()] == [(0, 540, "ann"), (1, 545, "bob"), (2, 550, "ann"), (3, 555, "cy")]
-    dictionary = spark.createDataFrame([("secrecy", "Keep this between us"), ("secrecy", "delete that"), ("x", "elete")], "category string, phrase string")
+    dictionary = spark.createDataFrame([("secrecy", "Keep this between us"), ("secrecy", "delete that"), ("x", "elete"), (None, None), ("y", "?!")], "category string, phrase string")
     assert sorted((r.turn, r.phrase) for r in search.keyword_screen(turns, dictionary).collect()) == [(0, "keep this between us"), (3, "delete that")]
     context = search.context_window(turns, "id", F.col("turn") == 0).first().context
     assert context == ["keep this between us", "ok"]
@@ -47,6 +47,48 @@ def test_conversations(spark):
     assert search.novel_terms(turns, F.col("turn") == 0, 1).where("term = 'keep'").first().lift > 1
 
 
+def test_phrases_within_phrases_and_with_signs(spark):
+    turns = spark.createDataFrame([(1, 0, "Delete that now, a+b at p (net) 5% or \\Ehm"), (2, 0, None), (3, 0, "undelete thats")], "id int, turn int, message string")
+    phrases = ["delete that", "delete that now", "that", "p (net", "a+b", "5% or", "\\Ehm", "a b", "now, a"]
+    dictionary = spark.createDataFrame([("c", p) for p in phrases] + [("d", "that")], "category string, phrase string")
+    got = sorted((r.category, r.phrase) for r in search.keyword_screen(turns, dictionary).collect())
+    assert got == sorted([("c", p.lower()) for p in phrases if p != "a b"] + [("d", "that")])
+    assert search.keyword_screen(turns, dictionary.limit(0)).count() == 0 and search.keyword_screen(turns.limit(0), dictionary).count() == 0
+
+
+def test_words_of_all_scripts(spark):
+    df = spark.createDataFrame([(1, "Café œuvre šest"), (2, "Cafe\u0301, Œuvre"), (3, "这房子很安静 beach"), (4, None)], "id int, t string")
+    index = search.build_index(df, "id", ["t"])
+    found = lambda w: {r.id for r in search.match_any(index, "id", [w]).collect()}
+    assert found("café") == {1, 2} and found("œuvre") == {1, 2} and found("šest") == {1} and found("房子") == {3} and found("安静") == {3} and found("beach") == {3} and found("cafe") == set()
+
+
+def test_fuzzy_search(spark):
+    df = spark.createDataFrame([(1, "Quiet harbour", "boats"), (2, "harbor wall", None), (3, "nothing", "harbour"), (4, None, None), (5, "", "")], "id int, a string, b string")
+    got = {r.id: r.score for r in search.fuzzy_search(df, "id", {"a": 20, "b": 10}, "harbour", 0.2).collect()}
+    assert got.keys() == {1, 2, 3} and got[1] < got[2] and got[1] < got[3]
+    assert {r.id for r in search.fuzzy_search(df.where("id = 2"), "id", {"a": 20, "b": 10}, "harbour", 0.2).collect()} == {2}
+    assert search.fuzzy_search(df, "id", {"a": 1}, "x").count() == 0
+
+
+def test_scores_and_rules(spark):
+    turns = spark.createDataFrame([(1, "delete"), (2, "hello"), (3, None)], "id int, message string")
+    got = {r.id: r.intent for r in search.classified(turns, lambda s: s.str.contains("delete").astype(float)).collect()}
+    assert got[1] == "suspicious" and got[2] == "legitimate"
+    rules = search.with_rules(spark.createDataFrame([("a",), ("b",)], "category string"), spark.createDataFrame([("a", "r1"), ("a", "r2")], "category string, rule string"))
+    assert sorted(map(tuple, rules.collect()), key=str) == [("a", "r1"), ("a", "r2"), ("b", None)]
+
+
+def test_lookups_open_the_folders_of_their_terms(spark, tmp_path):
+    search.save_index(search.build_index(docs(spark), "id", ["t"]), str(tmp_path / "s"), 8)
+    stored = search.StoredIndex(spark, str(tmp_path / "s"), 8)
+    found = search.match_any(stored.postings(["quiet"]), "id", ["quiet"])
+    assert [r.id for r in found.collect()] == [2] and stored.postings([]).count() == 0
+    assert search.rows_examined(found) < stored.rows.count()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(shard" in plan and "EqualTo(term,quiet)" in plan
+
+
 def test_csv_round_trip(spark, tmp_path):
     path = tmp_path / "in.csv"
     path.write_text('a,b,c\n1,"x, ""y""",NA\n,n/a,3\n')
@@ -105,6 +147,6 @@ def test_speed_is_timed_over_34_terms_ten_times(spark, data, monkeypatch):
     from tidemark.plans import texts
 
     seen = []
-    monkeypatch.setattr(texts.search, "compare_speed", lambda runs, repeats=10: seen.append((list(runs), repeats)) or [{"name": n, "matches": 0, "mean_ms": 0.0} for n in runs])
+    monkeypatch.setattr(texts.search, "compare_speed", lambda runs, repeats=10: seen.append((list(runs), repeats)) or [{"name": n, "matches": 0, "rows_examined": 0, "mean_ms": 1.0} for n in runs])
     assert texts.search_speed(spark, data).count() == 68
     assert len(set(texts.TIMED)) == 34 and seen == [([f"{way} {t}" for way in ("index", "like") for t in texts.TIMED], 10)]

@@ -6,6 +6,7 @@ import atexit
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,6 +52,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if not context.master.startswith("local[") and context.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
         named = os.path.join(tempfile.gettempdir(), f"tidemark-checkpoints-{os.getpid()}")
+    elif context.master.startswith("spark://") and named.startswith((tempfile.gettempdir() + "/", f"file:{tempfile.gettempdir()}/", f"file://{tempfile.gettempdir()}/")):
+        raise ValueError(f"spark.checkpoint.dir is a temporary folder of one machine: {named}")
     context.setCheckpointDir(named)
     return named
 
@@ -68,7 +71,19 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stored_once(spark: SparkSession, key: tuple, write: Callable[[str], None]) -> str:
+    """The folder of a table that is written by ``write`` when it is first asked for in a session, and kept until the driver ends."""
+    name = (spark.sparkContext.applicationId, *key)
+    if name not in _stored:
+        path = f"{ensure_checkpoint_dir(spark)}/tables/{uuid.uuid4().hex}"
+        write(path)
+        _written.append((spark, path))
+        _stored[name] = path
+    return _stored[name]
+
+
 _written: list[tuple[SparkSession, str]] = []
+_stored: dict[tuple, str] = {}
 
 
 @atexit.register
