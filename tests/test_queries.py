@@ -10,10 +10,10 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
-from tidemark.plans import problems, statistics, tables, texts
+from tidemark.plans import care, problems, statistics, tables, texts
 
-CORE = problems.QUERIES | tables.QUERIES | statistics.QUERIES | texts.QUERIES
-SQL = problems.ORACLE | tables.ORACLE | statistics.ORACLE | texts.ORACLE
+CORE = problems.QUERIES | tables.QUERIES | statistics.QUERIES | texts.QUERIES | care.QUERIES
+SQL = problems.ORACLE | tables.ORACLE | statistics.ORACLE | texts.ORACLE | care.ORACLE
 SLOW = {"forecast_leaderboard", "stacking_forecast", "fold_scores"}
 
 

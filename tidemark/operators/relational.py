@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.statistics import exact_quantiles
+from tidemark.session import cut
 
 
 def _col(name: str) -> Column:
@@ -44,6 +45,12 @@ def replace_exact(column: Column, mapping: Mapping[str, str]) -> Column:
     return F.coalesce(F.element_at(table, column), column)
 
 
+def is_finite(column: Column) -> Column:
+    """True for numbers; false for null, NaN and infinities."""
+    x = column.cast("double")
+    return F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False))
+
+
 def mask_range(column: Column, low: float, high: float) -> Column:
     """The value where it lies in the closed range, else null."""
     return F.when(column.between(low, high), column)
@@ -135,9 +142,37 @@ def zscore(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFram
     return df.join(stats, list(keys)).withColumn(out, F.when(F.col("_sd") > 0, (_col(value) - F.col("_mean")) / F.col("_sd"))).drop("_mean", "_sd")
 
 
+def with_position(df: DataFrame, order: Sequence[str], out: str = "position") -> DataFrame:
+    """Each row with its place, from 1, in the order of the columns; rows that tie in all of them in any order.
+
+    Rows are range-partitioned and numbered by the rows of the partitions before, so no task sees all of them.
+    """
+    keys = [_col(c) for c in order]
+    placed = cut(df.repartitionByRange(*keys).withColumn("_part", F.spark_partition_id()))
+    sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
+    before = sizes.select(F.col("_part").alias("_p"), (F.sum("_size").over(Window.orderBy("_part")) - F.col("_size")).alias("_before"))
+    here = F.row_number().over(Window.partitionBy("_part").orderBy(*keys))
+    return placed.withColumn("_here", here).join(F.broadcast(before), F.col("_part") == F.col("_p")).withColumn(out, F.col("_before") + F.col("_here")).drop("_part", "_here", "_p", "_before")
+
+
+#: Parts of the range of hashes that are counted to find the n-th one.
+HASH_PARTS = 1 << 16
+
+
 def hash_sample(df: DataFrame, keys: Sequence[str], n: int, seed: int = 42) -> DataFrame:
-    """Exactly n rows (all if there are fewer), the same ones on every run: those with the lowest seeded hash of their keys."""
-    return df.orderBy(F.xxhash64(*[_col(k) for k in keys], F.lit(seed)), *[_col(k) for k in keys]).limit(n)
+    """Exactly n rows (all if there are fewer), the same ones on every run: those with the lowest seeded hash of their keys.
+
+    Rows are counted by parts of the range of hashes; whole parts are taken or left, and only the part in which the n-th hash
+    lies is sorted. One row of counts reaches the driver.
+    """
+    hashed = df.withColumn("_hash", F.xxhash64(*[_col(k) for k in keys], F.lit(seed))).withColumn("_part", F.shiftright("_hash", 48))
+    counts = hashed.groupBy("_part").agg(F.count(F.lit(1)).alias("_m"))  # at most HASH_PARTS rows
+    upto = counts.withColumn("_below", F.sum("_m").over(Window.orderBy("_part")) - F.col("_m"))
+    at = upto.where(F.col("_below") + F.col("_m") >= n).orderBy("_part").first() if n > 0 else None
+    if at is None:
+        return df if n > 0 else df.limit(0)
+    last = hashed.where(F.col("_part") == at["_part"]).orderBy("_hash", *[_col(k) for k in keys]).limit(n - at["_below"])
+    return hashed.where(F.col("_part") < at["_part"]).unionAll(last).drop("_hash", "_part")
 
 
 def hash_split(df: DataFrame, keys: Sequence[str], share: float, seed: int = 42) -> DataFrame:

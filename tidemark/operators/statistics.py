@@ -10,6 +10,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,17 +63,12 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: Column, shares: d
 
 
 def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """column_name, count, mean, std, min, p25, p50, p75, max, skew of each column."""
-    frames = []
-    for name in columns:
-        x = _number(name)
-        q = exact_quantiles(df, [], x, {"p25": 0.25, "p50": 0.5, "p75": 0.75})
-        row = df.agg(F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"), adjusted_skew(x).alias("skew"))
-        frames.append(row.crossJoin(F.broadcast(q)).select(F.lit(name).alias("column_name"), "count", "mean", "std", "min", "p25", "p50", "p75", "max", "skew"))
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionAll(f)
-    return out
+    """column_name, count, mean, std, min, p25, p50, p75, max, skew of each column, all columns by the same passes."""
+    long = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column_name"), _number(c).alias("_x")) for c in columns])))
+    x = F.col("_x")
+    rows = long.groupBy("column_name").agg(F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"), adjusted_skew(x).alias("skew"))
+    q = exact_quantiles(long, ["column_name"], x, {"p25": 0.25, "p50": 0.5, "p75": 0.75})
+    return rows.join(q, "column_name", "left").select("column_name", "count", "mean", "std", "min", "p25", "p50", "p75", "max", "skew")
 
 
 def fences(df: DataFrame, column: str, factor: float = 1.5) -> DataFrame:
@@ -112,6 +108,23 @@ def boxplot(df: DataFrame, key: str, column: str, factor: float = 1.5) -> DataFr
     return joined.groupBy(key).agg(*picks, F.min(F.when(inside, F.col("_x"))).alias("whisker_low"), F.max(F.when(inside, F.col("_x"))).alias("whisker_high"), F.count(F.when(~inside, True)).alias("fliers"))
 
 
+def fliers(df: DataFrame, key: str, column: str, factor: float = 1.5) -> DataFrame:
+    """The rows beyond the fences of their group; null keys and values are left out."""
+    rows = df.where(F.col(key).isNotNull()).withColumn("_x", _number(column)).where("_x is not null")
+    joined = rows.join(exact_quantiles(rows.select(key, "_x"), [key], F.col("_x"), {"_q1": 0.25, "_q3": 0.75}), key)
+    spread = F.col("_q3") - F.col("_q1")
+    return joined.where(~F.col("_x").between(F.col("_q1") - factor * spread, F.col("_q3") + factor * spread)).drop("_x", "_q1", "_q3")
+
+
+def percent_ranks(df: DataFrame, column: str, out: str = "percent_rank") -> DataFrame:
+    """Each row with the share of the other rows below its value; null for null values and where there is one row."""
+    x = _number(column)
+    ranks = _value_ranks(df, x)
+    total = ranks.agg(F.sum("_n").alias("_total"))
+    placed = ranks.crossJoin(F.broadcast(total)).select("_v", F.try_divide(F.col("_rank") - (F.col("_n") - 1) / 2.0 - 1, F.col("_total") - 1).alias(out))
+    return df.withColumn("_v", x).join(placed, "_v", "left").drop("_v")
+
+
 def _value_ranks(df: DataFrame, value: Column) -> DataFrame:
     """Each distinct value with how many rows have it and their average rank.
 
@@ -144,6 +157,30 @@ def kruskal_test(df: DataFrame, key: str, column: str) -> tuple[float, float]:
     return row["h"], chi2_tail(row["h"], row["groups"] - 1)
 
 
+def chi2_p(h: Column, degrees: Column) -> Column:
+    """Upper tail of chi squared, for tables of a few test statistics."""
+    return F.pandas_udf(lambda a, b: pd.Series([None if x is None or x != x else chi2_tail(float(x), int(v)) for x, v in zip(a, b, strict=True)], dtype="float64"), "double")(h, degrees)
+
+
+def t_p(t: Column, degrees: Column) -> Column:
+    """Upper tail of t, for tables of a few test statistics."""
+    return F.pandas_udf(lambda a, b: pd.Series([None if x is None or x != x else t_tail(float(x), int(v)) for x, v in zip(a, b, strict=True)], dtype="float64"), "double")(t, degrees)
+
+
+def kruskal_decided(df: DataFrame, key: str, column: str, level: float = 0.05) -> DataFrame:
+    """One row: h, groups, n, p and whether the groups differ at the level."""
+    tested = kruskal(df, key, column)
+    return tested.withColumn("p", chi2_p(F.col("h"), F.col("groups") - 1)).withColumn("differs", F.col("p") < level)
+
+
+#: The same in SQL as CTEs that end in ``tested``; the tail by Simpson's rule over 20,000 steps.
+KRUSKAL_SQL = """r AS (SELECT {key} AS g, {value} AS v, rank() OVER (ORDER BY {value}) + (count(*) OVER (PARTITION BY {value}) - 1) / 2.0::DOUBLE AS rk FROM {table} WHERE {key} IS NOT NULL AND {value} IS NOT NULL),
+    gs AS (SELECT sum(rk) AS s, count(*) AS m FROM r GROUP BY g), ts AS (SELECT sum(pow(CAST(k AS DOUBLE), 3) - k) AS t FROM (SELECT count(*) AS k FROM r GROUP BY v)), sums AS (SELECT sum(s * s / m) AS s, count(*) AS groups, CAST(sum(m) AS BIGINT) AS n FROM gs),
+    hs AS (SELECT (12.0::DOUBLE / (CAST(n AS DOUBLE) * (n + 1)) * s - 3 * (n + 1)) / (1 - t / (pow(CAST(n AS DOUBLE), 3) - n)) AS h, groups, n, (groups - 1) / 2.0::DOUBLE AS a FROM sums, ts),
+    tested AS (SELECT h, groups, n, 1 - h / 20000 / 3 * sum((CASE WHEN i IN (0, 20000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * CASE WHEN i = 0 THEN (CASE WHEN a = 1 THEN 0.5 ELSE 0 END) ELSE exp((a - 1) * ln(h * i / 20000) - h * i / 40000 - a * ln(2) - lgamma(a)) END) AS p
+        FROM hs, generate_series(0, 20000) s(i) GROUP BY h, groups, n, a)"""
+
+
 def rank_auc(df: DataFrame, label: Column, score: Column) -> DataFrame:
     """One row: auc (ties count half), positives, negatives."""
     rows = df.select(label.cast("int").alias("_y"), score.cast("double").alias("_v")).where("_y is not null and _v is not null")

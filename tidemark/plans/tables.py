@@ -9,6 +9,7 @@ from tidemark.functions import dates, text
 from tidemark.functions.numbers import amount
 from tidemark.operators import relational as rel
 from tidemark.operators.modelling import pick_best
+from tidemark.operators.statistics import percent_ranks as percent_rank_of
 from tidemark.operators.statistics import two_level_mean
 from tidemark.session import load
 
@@ -75,9 +76,10 @@ def duration_minutes(spark, d):
 
 
 def row_audit(spark, d):
-    lines = load(spark, d, "lineitem")
-    steps = [("raw", lines), ("keep_first", rel.dedupe_keep_first(lines, ["l_orderkey", "l_linenumber"], [F.col(c) for c in _LINE])), ("large", lines.where("l_quantity > 25"))]
-    return rel.stacked([f.agg(F.count(F.lit(1)).alias("row_count")).select(F.lit(name).alias("step"), "row_count") for name, f in steps])
+    """Rows before and after steps, by one pass."""
+    per_key = load(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("l_quantity") > 25).alias("large"))
+    counts = per_key.agg(F.sum("n").alias("raw"), F.count(F.lit(1)).alias("keep_first"), F.sum("large").alias("large"))
+    return counts.select(F.inline(F.array(*[F.struct(F.lit(c).alias("step"), F.col(c).alias("row_count")) for c in ("raw", "keep_first", "large")])))
 
 
 def _gaps(spark, d):
@@ -129,7 +131,7 @@ def group_median_ratio(spark, d):
 
 
 def fallback_three_levels(spark, d):
-    part, sold = load(spark, d, "part"), load(spark, d, "lineitem").where("l_quantity > 40")
+    part, sold = load(spark, d, "part"), load(spark, d, "lineitem")
     source = sold.join(part, sold.l_partkey == part.p_partkey).select("p_brand", "p_type", "l_extendedprice")
     found = rel.fill_by_lookup(part.select("p_partkey", "p_brand", "p_type"), source, [["p_brand", "p_type"], ["p_brand"]], "l_extendedprice", "proxy")
     return found.select("p_partkey", F.round("proxy", 4).alias("proxy"))
@@ -187,7 +189,7 @@ def pivot_counts(spark, d):
 
 
 def grouping_sets(spark, d):
-    return load(spark, d, "customer").cube("c_mktsegment", "c_nationkey").agg(F.count(F.lit(1)).alias("n")).where("grouping_id(c_mktsegment, c_nationkey) in (1, 2)")
+    return load(spark, d, "customer").groupingSets([["c_mktsegment"], ["c_nationkey"]], "c_mktsegment", "c_nationkey").agg(F.count(F.lit(1)).alias("n"))
 
 
 def anti_join(spark, d):
@@ -254,12 +256,90 @@ def natural_order(spark, d):
 
 
 def collapsed_text(spark, d):
-    return load(spark, d, "documents").where("kind = 'nurse_note' and text is not null").select("doc_id", F.length(F.regexp_replace("text", r"[ \t\r\n]+", " ")).alias("collapsed_length"), F.substring("text", 1, 40).alias("head"))
+    return load(spark, d, "documents").where("text is not null").select("doc_id", F.regexp_replace("text", r"[ \t\r\n]+", " ").alias("collapsed"))
+
+
+def cut_texts(spark, d):
+    """Texts cut after the numbers of characters that reports of documents and of slides keep."""
+    return load(spark, d, "documents").select("doc_id", F.substring("text", 1, 3500).alias("long_cut"), F.substring("text", 1, 2500).alias("short_cut"))
 
 
 def slice_items(spark, d):
     items = F.split(F.regexp_replace("amenities", r'^\["|"\]$', ""), '", "')
-    return load(spark, d, "listings").where("amenities like '[\"%'").select("row_id", F.array_join(F.slice(items, 1, 3), " | ").alias("first_items"))
+    return load(spark, d, "listings").where("amenities like '[\"%'").select("row_id", F.array_join(F.slice(items, 1, 12), " | ").alias("first_items"))
+
+
+def target_date_parts(spark, d):
+    """The parts of one given day beside every row that is scored for it."""
+    day = F.to_date(F.lit("2026-8-9"), "yyyy-M-d")
+    return load(spark, d, "part").select("p_partkey", *[c.alias(n) for n, c in dates.calendar_parts(day).items()])
+
+
+def half_even(spark, d):
+    return load(spark, d, "lineitem").groupBy("l_suppkey").agg(F.bround(F.avg("l_extendedprice"), 2).alias("mean_price"))
+
+
+def finite_only(spark, d):
+    """Values that are numbers and finite, of values some of which are made infinite, not a number or null."""
+    part = F.pmod("event_id", F.lit(7))
+    value = F.when(part == 0, F.lit(float("inf"))).when(part == 1, F.lit(float("nan"))).when(part == 2, F.lit(None)).otherwise(F.col("value"))
+    return load(spark, d, "events").select("event_id", value.alias("value")).where(rel.is_finite(F.col("value")))
+
+
+def parameter_grid(spark, d):
+    """Every year with every pair of a growth and an elasticity: small tables of parameters, crossed."""
+    years = load(spark, d, "orders").groupBy(F.year("o_orderdate").alias("year")).agg(F.sum("o_totalprice").alias("demand"))
+    growths, elasticities = spark.createDataFrame([(0.01,), (0.0315,)], "growth double"), spark.createDataFrame([(-0.1,), (-0.2,), (-0.3,), (-0.5,), (-1.0,)], "elasticity double")
+    grid = years.crossJoin(F.broadcast(growths.crossJoin(elasticities)))
+    return grid.select("year", "growth", "elasticity", F.round(F.col("demand") * (1 + F.col("growth") * F.col("elasticity")), 2).alias("demand"))
+
+
+def series_by_year(spark, d):
+    """Yearly series of several tables side by side, for the years that all of them have."""
+    ordered = load(spark, d, "orders").groupBy(F.year("o_orderdate").alias("year")).agg(F.count(F.lit(1)).alias("orders"))
+    shipped = load(spark, d, "lineitem").groupBy(F.year("l_shipdate").alias("year")).agg(F.sum("l_quantity").alias("shipped"))
+    priced = load(spark, d, "orders").where("o_orderstatus = 'F'").groupBy(F.year("o_orderdate").alias("year")).agg(F.round(F.avg("o_totalprice"), 4).alias("mean_finished"))
+    return ordered.join(shipped, "year").join(priced, "year")
+
+
+def compounded_path(spark, d):
+    """Level of a price that rises each year by the mean discount of that year, one year upon the other."""
+    rates = load(spark, d, "lineitem").groupBy(F.year("l_shipdate").alias("year")).agg(F.avg("l_discount").alias("r"))
+    level = F.exp(F.sum(F.log1p("r")).over(Window.orderBy("year")))
+    return rates.select("year", F.round("r", 6).alias("rate"), F.round(level, 6).alias("level"))
+
+
+def percent_ranks(spark, d):
+    return percent_rank_of(load(spark, d, "supplier").select("s_suppkey", "s_acctbal"), "s_acctbal").select("s_suppkey", F.round("percent_rank", 6).alias("percent_rank"))
+
+
+def row_numbers(spark, d):
+    return rel.with_position(load(spark, d, "orders").select("o_orderkey", "o_totalprice"), ["o_totalprice", "o_orderkey"])
+
+
+def row_at_position(spark, d):
+    return rel.with_position(load(spark, d, "customer").select("c_custkey", "c_name"), ["c_custkey"]).where("position = 7").select("c_custkey", "c_name")
+
+
+def prefix_strip(spark, d):
+    return load(spark, d, "part").select("p_partkey", F.replace(F.concat(F.lit("num__"), F.col("p_name")), F.lit("num__"), F.lit("")).alias("name"))
+
+
+def formatted(spark, d):
+    """Numbers with separators and decimals, and days, as texts."""
+    return load(spark, d, "orders").select("o_orderkey", F.format_number("o_totalprice", 2).alias("amount"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"), F.format_string("%s: %.1f", F.col("o_orderstatus"), F.round("o_totalprice", 1)).alias("line"))
+
+
+def hash_sample_counts(spark, d):
+    """How many rows the sample has, how many different ones, and how many of them are rows of the table."""
+    sample = hash_sample(spark, d)
+    real = sample.join(load(spark, d, "orders").select("o_orderkey"), "o_orderkey", "left_semi")
+    return sample.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("o_orderkey").alias("different")).crossJoin(real.agg(F.count(F.lit(1)).alias("real")))
+
+
+def hash_split_counts(spark, d):
+    """Rows of both parts together, and whether the share of the first is within two in a hundred of what was asked."""
+    return hash_split(spark, d).agg(F.count("is_train").alias("n"), (F.abs(F.count_if("is_train") / F.count(F.lit(1)) - 0.8) < 0.02).alias("near"))
 
 
 def word_counts(spark, d):
@@ -272,7 +352,8 @@ QUERIES = {
         dedupe_keep_first, duplicate_count, null_profile, distinct_sorted, exact_replace, parse_formats, coerce_numbers, fill_constant, fill_column, default_columns, drop_incomplete, duration_minutes, row_audit,
         gap_minutes, mean_gap_by_user, top_bottom, mean_of_means, ordered_reindex, above_mean, inner_join_enrich, group_median_ratio, fallback_three_levels, value_grid, best_of_grid, best_of_group, rank_with_ties,
         zscore_by_group, group_range_flags, group_shares, conditional_rates, best_and_worst, pivot_counts, grouping_sets, anti_join, semi_join_order, calendar_features, regime_flags, time_index, chronological_split, hash_sample, hash_split, note_parts,
-        amenity_flags, price_clean, range_midpoint, duration_years, natural_order, collapsed_text, slice_items, word_counts,
+        amenity_flags, price_clean, range_midpoint, duration_years, natural_order, collapsed_text, cut_texts, slice_items, word_counts,
+        target_date_parts, half_even, finite_only, parameter_grid, series_by_year, compounded_path, percent_ranks, row_numbers, row_at_position, prefix_strip, formatted, hash_sample_counts, hash_split_counts,
     )
 }
 
@@ -305,7 +386,7 @@ ORACLE = {
     "above_mean": "SELECT l_returnflag, round(avg(l_quantity), 6) AS mean_quantity, CAST(avg(l_quantity) > (SELECT avg(l_quantity) FROM lineitem) AS INTEGER) AS above FROM lineitem GROUP BY 1",
     "inner_join_enrich": "WITH newest AS (SELECT id, room_type, accommodates FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY last_scraped DESC, row_id DESC) AS k FROM listings WHERE id IS NOT NULL) WHERE k = 1) SELECT room_type, available, count(*) AS nights, CAST(sum(accommodates) AS BIGINT) AS places FROM calendar JOIN newest ON listing_id = id GROUP BY ALL",
     "group_median_ratio": f"WITH {_PARSED}, kept AS (SELECT * FROM priced WHERE amount > 0 AND bedrooms IS NOT NULL AND NOT isnan(bedrooms)), medians AS (SELECT neighbourhood_cleansed, room_type, bedrooms, median(amount) AS m FROM kept WHERE neighbourhood_cleansed IS NOT NULL AND room_type IS NOT NULL GROUP BY ALL) SELECT row_id, round(coalesce(m, amount), 4) AS median_amount, round(amount / coalesce(m, amount), 6) AS ratio FROM kept LEFT JOIN medians USING (neighbourhood_cleansed, room_type, bedrooms)",
-    "fallback_three_levels": "WITH source AS (SELECT p_brand, p_type, l_extendedprice FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity > 40), a AS (SELECT p_brand, p_type, median(l_extendedprice) AS m FROM source GROUP BY ALL), b AS (SELECT p_brand, median(l_extendedprice) AS m FROM source GROUP BY ALL) SELECT p_partkey, round(coalesce(a.m, b.m, (SELECT median(l_extendedprice) FROM source)), 4) AS proxy FROM part LEFT JOIN a USING (p_brand, p_type) LEFT JOIN b USING (p_brand)",
+    "fallback_three_levels": "WITH source AS (SELECT p_brand, p_type, l_extendedprice FROM lineitem JOIN part ON l_partkey = p_partkey), a AS (SELECT p_brand, p_type, median(l_extendedprice) AS m FROM source GROUP BY ALL), b AS (SELECT p_brand, median(l_extendedprice) AS m FROM source GROUP BY ALL) SELECT p_partkey, round(coalesce(a.m, b.m, (SELECT median(l_extendedprice) FROM source)), 4) AS proxy FROM part LEFT JOIN a USING (p_brand, p_type) LEFT JOIN b USING (p_brand)",
     "value_grid": "SELECT p_partkey, round(p_retailprice * 0.5::DOUBLE + k * 50.0::DOUBLE, 4) AS point FROM (SELECT p_partkey, p_retailprice, unnest(generate_series(0, CAST(floor(p_retailprice * 1.5::DOUBLE / 50.0::DOUBLE + 1e-9) AS BIGINT))) AS k FROM part)",
     "best_of_grid": "WITH grid AS (SELECT p_partkey, p_retailprice AS p, p_retailprice * 0.5::DOUBLE + k * 50.0::DOUBLE AS x FROM (SELECT p_partkey, p_retailprice, unnest(generate_series(0, CAST(floor(p_retailprice * 1.5::DOUBLE / 50.0::DOUBLE + 1e-9) AS BIGINT))) AS k FROM part)), scored AS (SELECT *, x / (1 + exp(4 * (x / p - 1))) AS e FROM grid), ranked AS (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY e DESC, x) AS k FROM scored) SELECT p_partkey, round(x, 4) AS best, round(e, 4) AS expected FROM ranked WHERE k = 1",
     "best_of_group": "SELECT p_brand, p_partkey, p_retailprice FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS k FROM part) WHERE k = 1",
@@ -333,7 +414,21 @@ ORACLE = {
     "range_midpoint": "SELECT p_partkey, CASE WHEN p_partkey % 7 <> 0 THEN p_size + 1.0::DOUBLE END AS middle FROM part",
     "duration_years": "SELECT p_partkey, round(CASE p_partkey % 3 WHEN 0 THEN p_size + (p_partkey % 12) / 12.0::DOUBLE WHEN 1 THEN p_size ELSE 0 END, 6) AS years FROM part",
     "natural_order": "SELECT DISTINCT p_brand, CAST(regexp_extract(p_brand, '([0-9]+)', 1) AS BIGINT) AS number FROM part ORDER BY 2, 1",
-    "collapsed_text": "SELECT doc_id, CAST(length(regexp_replace(text, '[ \\t\\r\\n]+', ' ', 'g')) AS INTEGER) AS collapsed_length, substring(text, 1, 40) AS head FROM documents WHERE kind = 'nurse_note' AND text IS NOT NULL",
-    "slice_items": """SELECT row_id, array_to_string(list_slice(string_split(regexp_replace(amenities, '^\\["|"\\]$', '', 'g'), '", "'), 1, 3), ' | ') AS first_items FROM listings WHERE amenities LIKE '["%'""",
+    "collapsed_text": "SELECT doc_id, regexp_replace(text, '[ \\t\\r\\n]+', ' ', 'g') AS collapsed FROM documents WHERE text IS NOT NULL",
+    "cut_texts": "SELECT doc_id, substring(text, 1, 3500) AS long_cut, substring(text, 1, 2500) AS short_cut FROM documents",
+    "target_date_parts": "SELECT p_partkey, 2026 AS year, 8 AS month, 6 AS weekday, 1 AS is_weekend FROM part",
+    "half_even": "SELECT l_suppkey, round_even(avg(l_extendedprice), 2) AS mean_price FROM lineitem GROUP BY 1",
+    "finite_only": "SELECT event_id, value FROM events WHERE event_id % 7 > 2 AND value IS NOT NULL",
+    "parameter_grid": "SELECT CAST(year AS INTEGER) AS year, growth::DOUBLE AS growth, elasticity::DOUBLE AS elasticity, round(demand * (1 + growth::DOUBLE * elasticity::DOUBLE), 2) AS demand FROM (SELECT year(o_orderdate) AS year, sum(o_totalprice) AS demand FROM orders GROUP BY 1), (VALUES (0.01), (0.0315)) g(growth), (VALUES (-0.1), (-0.2), (-0.3), (-0.5), (-1.0)) e(elasticity)",
+    "series_by_year": "SELECT CAST(year AS INTEGER) AS year, orders, shipped, mean_finished FROM (SELECT year(o_orderdate) AS year, count(*) AS orders, round(avg(o_totalprice) FILTER (o_orderstatus = 'F'), 4) AS mean_finished FROM orders GROUP BY 1) JOIN (SELECT year(l_shipdate) AS year, sum(l_quantity) AS shipped FROM lineitem GROUP BY 1) USING (year) WHERE mean_finished IS NOT NULL",
+    "compounded_path": "WITH RECURSIVE r AS (SELECT CAST(year(l_shipdate) AS INTEGER) AS year, avg(l_discount) AS r FROM lineitem GROUP BY 1), o AS (SELECT *, row_number() OVER (ORDER BY year) AS k FROM r), p AS (SELECT k, year, r, 1 + r AS level FROM o WHERE k = 1 UNION ALL SELECT o.k, o.year, o.r, p.level * (1 + o.r) FROM o JOIN p ON o.k = p.k + 1) SELECT year, round(r, 6) AS rate, round(level, 6) AS level FROM p",
+    "percent_ranks": "SELECT s_suppkey, round(percent_rank() OVER (ORDER BY s_acctbal), 6) AS percent_rank FROM supplier",
+    "row_numbers": "SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_totalprice, o_orderkey) AS position FROM orders",
+    "row_at_position": "SELECT c_custkey, c_name FROM customer ORDER BY c_custkey LIMIT 1 OFFSET 6",
+    "prefix_strip": "SELECT p_partkey, p_name AS name FROM part",
+    "formatted": "SELECT o_orderkey, format('{:,.2f}', o_totalprice) AS amount, strftime(o_orderdate, '%Y-%m-%d') AS day, o_orderstatus || ': ' || format('{:.1f}', round(o_totalprice, 1)) AS line FROM orders",
+    "hash_sample_counts": "SELECT least(1000, count(*)) AS n, least(1000, count(*)) AS different, least(1000, count(*)) AS real FROM orders",
+    "hash_split_counts": "SELECT count(*) AS n, true AS near FROM orders",
+    "slice_items": """SELECT row_id, array_to_string(list_slice(string_split(regexp_replace(amenities, '^\\["|"\\]$', '', 'g'), '", "'), 1, 12), ' | ') AS first_items FROM listings WHERE amenities LIKE '["%'""",
     "word_counts": "SELECT row_id, CAST(n AS INTEGER) AS n_words, n >= 10 AS is_long FROM (SELECT row_id, CASE WHEN t = '' THEN 0 ELSE len(string_split_regex(t, '\\s+')) END AS n FROM (SELECT row_id, regexp_replace(nurse_notes, '^\\s+|\\s+$', '', 'g') AS t FROM visits WHERE nurse_notes IS NOT NULL))",
 }
