@@ -103,6 +103,40 @@ def test_csv_round_trip(spark, tmp_path):
     assert tables.report_lines(spark.createDataFrame([("a", 2.5)], "n string, v double"), "%s: %.2f", ["n", "v"]).first().line == "a: 2.50"
 
 
+def test_csv_with_lines_in_values_and_torn_records(spark, tmp_path):
+    path = tmp_path / "m.csv"
+    path.write_text('n,t\n1,"line one\nline two"\nx,b\n3,c,d\n4\n')
+    got = [tuple(r) for r in tables.read_csv(spark, str(path), torn="bad").collect()]
+    assert got[0] == ("1", "line one\nline two", None) and got[1] == ("x", "b", None) and got[2][2] == "3,c,d" and got[3][2] == "4"
+    typed = {r.n: r.bad for r in tables.read_csv(spark, str(path), "n int, t string", torn="bad").collect()}
+    assert typed[1] is None and typed[None] == "x,b"
+    numbers = tmp_path / "n.csv"
+    numbers.write_text("a,b,c\n1,2.5,2024-01-02\n2,,2024-01-03\n")
+    assert tables.read_csv(spark, str(numbers), infer=True).dtypes == [("a", "int"), ("b", "double"), ("c", "date")]
+    assert tables.read_csv(spark, str(numbers), multi_line=False).count() == 2
+    assert "2024-01-02" in tables.table_text(tables.read_csv(spark, str(numbers)), 1) and "2024-01-03" not in tables.table_text(tables.read_csv(spark, str(numbers)), 1)
+
+
+def test_database_in_ranges(spark, tmp_path):
+    url = f"jdbc:derby:{tmp_path}/db;create=true"
+    spark.range(100).selectExpr("id", "concat('n', id) as name").write.format("jdbc").options(url=url, dbtable="t", driver="org.apache.derby.iapi.jdbc.AutoloadedDriver").save()
+    df = tables.read_jdbc(spark, url, "t", "id", 0, 100, 4, driver="org.apache.derby.iapi.jdbc.AutoloadedDriver")
+    assert df.rdd.getNumPartitions() == 4 and df.count() == 100
+    few = df.where("id = 7").select("name")
+    assert few.first()[0] == "n7" and "PushedFilters: [*IsNotNull(id), *EqualTo(id,7)]" in few._jdf.queryExecution().executedPlan().toString()
+
+
+def test_shared_formulas(spark, tmp_path):
+    assert office.shifted("SUM(A1:$B$2)+LOG10(C3)&\"A1\"", 1, 2) == "SUM(B3:$B$2)+LOG10(D5)&\"A1\"" and office.shifted("A1", -1, 0) == "#REF!" and office.shifted("Z9+AZ9", 1, 0) == "AA9+BA9"
+    with zipfile.ZipFile(tmp_path / "s.xlsx", "w") as z:
+        z.writestr("xl/workbook.xml", '<w xmlns:r="http://r"><sheets><sheet name="S" r:id="r1"/></sheets></w>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<R><Relationship Id="r1" Target="worksheets/sheet1.xml"/></R>')
+        z.writestr("xl/worksheets/sheet1.xml", '<s><row><c r="B1"><f t="shared" ref="B1:B3" si="0">A1*2</f><v>2</v></c><c r="B2"><f t="shared" si="0"/><v>4</v></c><c r="B3"><f t="shared" si="0"/></c></row></s>')
+    cells = office.read_xlsx(spark, str(tmp_path))
+    assert sorted((r.cell, r.formula) for r in cells.collect()) == [("B1", "=A1*2"), ("B2", "=A2*2"), ("B3", "=A3*2")]
+    assert sorted((r.row, r.cells) for r in office.first_cells(cells, 1).collect()) == [(1, ["B1=2"]), (2, ["B2=4"]), (3, ["B3==A3*2"])]
+
+
 W = 'xmlns:w="http://w" xmlns:a="http://a"'
 
 

@@ -125,8 +125,8 @@ def test_folds_expand_and_stack_learns(spark):
     assert [a.count() for a, _ in folds] == sorted(a.count() for a, _ in folds)
     logged = ml.with_log_target(df, "y")
     ready = ml.features(["v"], ["c"]).fit(logged).transform(logged)
-    models = ml.regressors()
-    stack = ml.Stack({n: models[n] for n in ("tree", "ridge")}, folds=3).fit(ready.where("at < 500"), "at")
+    models = {"tree": ml.grids()["tree"]["depth=10, child=1"](500), "ridge": ml.grids()["ridge"]["alpha=0.1"](500)}
+    stack = ml.Stack(models, folds=3).fit(ready.where("at < 500"), "at")
     assert st.regression_metrics(stack.predict(ready.where("at >= 500")), F.col("y"), F.col("predicted")).first().r2 > 0.9
     unseen = ml.features(["v"], ["c"]).fit(logged).transform(spark.createDataFrame([(1.0, "new", 2.0, 3.0)], "at double, c string, v double, y double"))
     assert list(unseen.first().features.toArray()) == [2.0, 0.0, 0.0]
@@ -144,8 +144,35 @@ def test_search_covers_the_grids(spark, monkeypatch):
     scores = ml.search_grids(ready, "at", "y", few)
     assert {(r.model, r.params, r.fold) for r in scores.collect()} == {(m, p, k) for m, g in few.items() for p in g for k in range(1, 6)}
     assert ml.best_settings(scores, few, 120)["ridge"].getRegParam() == 0.1 / 120
+    best = {r.model: r for r in ml.best_params(scores).collect()}
+    assert best["ridge"].params == "alpha=0.1" and best["ridge"].folds == 5
     seen = []
-    monkeypatch.setattr(statistics.ml, "search_grids", lambda df, time, target, candidates, folds: seen.append((set(candidates), folds)))
+    monkeypatch.setattr(statistics.ml, "search_grids", lambda df, time, target, candidates, folds: seen.append((set(candidates), folds)) or scores)
     monkeypatch.setattr(statistics, "_model_rows", lambda spark, d: (None, None))
-    statistics.fold_scores(spark, "")
+    # Searched once in a session, whichever query asks first.
+    assert statistics.fold_scores(spark, "searched once").count() == statistics.fold_scores(spark, "searched once").count() == scores.count()
     assert seen == [(set(grids), 5)]
+
+
+def test_columns_of_any_number_of_values(spark):
+    df = spark.range(3000).select(F.format_string("v%05d", F.col("id")).alias("c")).unionAll(spark.createDataFrame([(None,)], "c string"))
+    got = {r.c: r.at for r in ml.one_hot_array(df, "c", "at").collect()}
+    assert len(got) == 3001 and got["v00000"] == -1 and got["v00001"] == 0 and got["v02999"] == 2998 and got[None] is None
+    assert len(ml.one_hot_drop_first(df.where("c < 'v01200'"), "c").columns) == 1200
+
+
+def test_best_price_is_the_peak_of_its_curve(spark):
+    rows = spark.createDataFrame([(1, 1200.0, 1000.0), (2, 100.0, 100.0), (3, None, 5.0), (4, float("inf"), 5.0), (5, -3.0, 5.0), (6, 10.0, 0.0)], "id int, base double, usual double")
+    curve = ml.price_curve(rows, "base", "usual").withColumn("chance", 1 / (1 + F.exp(3 * (F.col("price_ratio") - 1))))
+    points = [(r.id, r.price, r.chance) for r in curve.collect()]
+    assert {i for i, *_ in points} == {1, 2} and sorted(p for i, p, _ in points if i == 1) == [600.0 + 50 * k for k in range(37)]
+    best = {r.id: r for r in ml.best_prices(curve, ["id"]).collect()}
+    for i, r in best.items():
+        assert r.revenue == pytest.approx(max(p * c for k, p, c in points if k == i)) and r.price == min(p for k, p, c in points if k == i and p * c == r.revenue)
+
+
+def test_fliers_and_percent_ranks(spark):
+    df = spark.createDataFrame([("a", float(v)) for v in [1, 2, 2, 3, 100]] + [("b", 5.0), (None, 9.0), ("a", None)], "k string, v double")
+    assert [(r.k, r.v) for r in st.fliers(df, "k", "v").collect()] == [("a", 100.0)]
+    got = sorted(((r.v, r.percent_rank) for r in st.percent_ranks(df, "v").collect()), key=str)
+    assert (1.0, 0.0) in got and (100.0, 1.0) in got and (None, None) in got and got.count((2.0, pytest.approx(1 / 6))) == 2

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
@@ -12,6 +15,7 @@ from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearReg
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.relational import is_finite, value_grid, with_position
 from tidemark.operators.statistics import exact_quantiles, regression_metrics
 
 
@@ -33,14 +37,24 @@ def fill_with_mode(df: DataFrame, column: str) -> DataFrame:
     return df.crossJoin(F.broadcast(mode)).withColumn(column, F.coalesce(F.col(column), F.col("_mode"))).drop("_mode")
 
 
-def one_hot_drop_first(df: DataFrame, column: str, most: int = 1000) -> DataFrame:
-    """A 0/1 column '<column>_<value>' for each value but the first in alphabetical order; null gives zeros."""
-    values = sorted(r[0] for r in df.select(column).where(F.col(column).isNotNull()).distinct().limit(most + 1).collect())
-    if len(values) > most:
-        raise ValueError(f"{column} has more than {most} values")
+def one_hot_drop_first(df: DataFrame, column: str) -> DataFrame:
+    """A 0/1 column '<column>_<value>' for each value but the first in alphabetical order; null gives zeros.
+
+    The result has a column for each value, so this is for columns of few values; ``one_hot_array`` takes any number.
+    """
+    values = sorted(r[0] for r in df.select(column).where(F.col(column).isNotNull()).distinct().collect())
     return df.withColumns({f"{column}_{v}": F.coalesce((F.col(column) == v).cast("int"), F.lit(0)) for v in values[1:]})
 
 
+def one_hot_array(df: DataFrame, column: str, out: str) -> DataFrame:
+    """``out``: the place, from 0, of the row's value among all values in order, -1 for the first and null for none.
+
+    As a sparse one-hot vector without its first entry has it; values are numbered by partitions, none reaches the driver.
+    """
+    numbered = with_position(df.select(column).where(F.col(column).isNotNull()).distinct(), [column], "_place")
+    return df.join(numbered.select(F.col(column), (F.col("_place") - 2).cast("int").alias(out)), column, "left")
+
+
 def balanced_weights(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
     """Each row with n / (classes * rows of its class)."""
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_m"))
@@ -65,25 +79,13 @@ def probability_of_one(df: DataFrame, out: str = "p1") -> DataFrame:
     return df.withColumn(out, vector_to_array("probability")[1])
 
 
-def importances(model: Model, scored: DataFrame, top: int = 15) -> DataFrame:
-    """feature and importance of the ``top`` most important inputs, by their names."""
+def importances(model: Model, scored: DataFrame, top: int = 15, prefix: str = "") -> DataFrame:
+    """feature and importance of the ``top`` most important inputs, best first, by their names without ``prefix``."""
     meta = scored.schema["features"].metadata["ml_attr"]["attrs"]
     names = {a["idx"]: a["name"] for group in meta.values() for a in group}
-    ranked = sorted(((float(v), names[i]) for i, v in enumerate(model.featureImportances.toArray())), key=lambda x: (-x[0], x[1]))[:top]
-    return scored.sparkSession.createDataFrame([(n, v) for v, n in ranked], "feature string, importance double")
-
-
-def regressors(seed: int = 42) -> dict[str, Estimator]:
-    """The family of models that are compared."""
-    common = {"labelCol": "log_target", "featuresCol": "features"}
-    return {
-        "linear": LinearRegression(**common),
-        "ridge": LinearRegression(regParam=0.1, elasticNetParam=0.0, standardization=False, **common),
-        "lasso": LinearRegression(regParam=0.001, elasticNetParam=1.0, standardization=False, maxIter=200, **common),
-        "tree": DecisionTreeRegressor(maxDepth=8, seed=seed, **common),
-        "forest": RandomForestRegressor(numTrees=20, maxDepth=8, featureSubsetStrategy="all", seed=seed, **common),
-        "boosting": GBTRegressor(maxIter=15, maxDepth=4, stepSize=0.1, seed=seed, **common),
-    }
+    rows = [(names[i], float(v)) for i, v in enumerate(model.featureImportances.toArray())]
+    ranked = scored.sparkSession.createDataFrame(rows, "feature string, importance double").orderBy(F.desc("importance"), "feature").limit(top)
+    return ranked.withColumn("feature", F.replace("feature", F.lit(prefix), F.lit(""))) if prefix else ranked
 
 
 #: A model with its settings, made for a number of training rows.
@@ -130,45 +132,45 @@ def expanding_folds(df: DataFrame, time: str, folds: int = 5) -> list[tuple[Data
     return [(blocked.where(F.col("block") < k), blocked.where(F.col("block") == k)) for k in range(1, folds + 1)]
 
 
-def leaderboard(train: DataFrame, test: DataFrame, target: str, models: Mapping[str, Estimator]) -> DataFrame:
-    """model, rmse, mae, r2 on the test rows, best first."""
-    rows = []
-    for name, estimator in models.items():
-        scored = predict(estimator.fit(train), test)
-        m = regression_metrics(scored, F.col(target), F.col("predicted")).first()
-        rows.append((name, m["rmse"], m["mae"], m["r2"]))
-    return train.sparkSession.createDataFrame(sorted(rows, key=lambda r: r[1]), "model string, rmse double, mae double, r2 double")
-
+def leaderboard(train: DataFrame, test: DataFrame, target: str, models: Mapping[str, Estimator], others: Mapping[str, DataFrame] | None = None) -> DataFrame:
+    """model, rmse, mae, r2 on the test rows, best first; ``others`` are test rows that a further model has predicted."""
+    scored = {name: predict(estimator.fit(train), test) for name, estimator in models.items()} | dict(others or {})
+    rows = [regression_metrics(rows, F.col(target), F.col("predicted")).select(F.lit(name).alias("model"), "rmse", "mae", "r2") for name, rows in scored.items()]
+    return reduce(DataFrame.unionAll, rows).orderBy("rmse")
 
-def grid_search(df: DataFrame, time: str, target: str, candidates: Mapping[str, Estimator], folds: int = 3) -> DataFrame:
-    """model, fold, rmse on the original scale, of every candidate over expanding folds."""
-    rows = []
-    for k, (train, held_out) in enumerate(expanding_folds(df, time, folds), 1):
-        train = train.cache()
-        for name, estimator in candidates.items():
-            rows.append((name, k, regression_metrics(predict(estimator.fit(train), held_out), F.col(target), F.col("predicted")).first()["rmse"]))
-        train.unpersist()
-    return df.sparkSession.createDataFrame(rows, "model string, fold int, rmse double")
 
+def search_grids(df: DataFrame, time: str, target: str, candidates: Candidates, folds: int = 5, threads: int = 8) -> DataFrame:
+    """model, params, fold, rmse on the original scale, of every setting of every model over expanding folds.
 
-def search_grids(df: DataFrame, time: str, target: str, candidates: Candidates, folds: int = 5) -> DataFrame:
-    """model, params, fold, rmse on the original scale, of every setting of every model over expanding folds."""
+    ``threads`` settings of a fold are fitted at a time, since a single fit leaves most of a cluster idle.
+    """
     rows = []
     for k, (train, held_out) in enumerate(expanding_folds(df, time, folds), 1):
         train, held_out = train.cache(), held_out.cache()
         n = train.count()
-        for name, settings in candidates.items():
-            for params, make in settings.items():
-                rows.append((name, params, k, regression_metrics(predict(make(n).fit(train), held_out), F.col(target), F.col("predicted")).first()["rmse"]))
+
+        def score(setting, k=k, train=train, held_out=held_out, n=n):
+            name, params, make = setting
+            scored = predict(make(n).fit(train), held_out)
+            return name, params, k, regression_metrics(scored, F.col(target), F.col("predicted")).first()["rmse"]
+
+        settings = [(name, params, make) for name, grid in candidates.items() for params, make in grid.items()]
+        with ThreadPool(threads) as pool:
+            rows += pool.map(inheritable_thread_target(df.sparkSession)(score), settings, 1)
         train.unpersist(), held_out.unpersist()
     return df.sparkSession.createDataFrame(rows, "model string, params string, fold int, rmse double")
 
 
+def best_params(scores: DataFrame) -> DataFrame:
+    """Of each model the setting with the least mean rmse over the folds: model, params, mean_rmse, folds."""
+    means = scores.groupBy("model", "params").agg(F.avg("rmse").alias("mean_rmse"), F.count(F.lit(1)).alias("folds"))
+    best = F.min_by(F.struct("params", "mean_rmse", "folds"), F.struct("mean_rmse", "params"))
+    return means.groupBy("model").agg(best.alias("b")).select("model", "b.*")
+
+
 def best_settings(scores: DataFrame, candidates: Candidates, n: int) -> dict[str, Estimator]:
-    """Of each model the setting with the least mean rmse over the folds, made for n training rows."""
-    means = scores.groupBy("model", "params").agg(F.avg("rmse").alias("rmse"))
-    best = means.groupBy("model").agg(F.min_by("params", F.struct("rmse", "params")).alias("params")).collect()
-    return {r["model"]: candidates[r["model"]][r["params"]](n) for r in best}
+    """Of each model the best setting, made for n training rows."""
+    return {r["model"]: candidates[r["model"]][r["params"]](n) for r in best_params(scores).collect()}
 
 
 class Stack:
@@ -211,3 +213,20 @@ def pick_best(prices: Column, chances: Column) -> Column:
     rows = F.zip_with(prices, chances, lambda p, c: F.struct((p * c).alias("expected"), (-p).alias("low"), p.alias("price"), c.alias("chance")))
     best = F.array_max(rows)
     return F.struct(best["price"].alias("price"), best["chance"].alias("chance"), best["expected"].alias("expected"))
+
+
+def price_curve(rows: DataFrame, base: str, usual: str, step: float = 50.0, low: float = 0.5, high: float = 2.0) -> DataFrame:
+    """Each row with every price of its grid from ``low`` to ``high`` times ``base``: price, and price_ratio to ``usual``.
+
+    Rows whose base or usual price is no positive finite number have no curve.
+    """
+    sound = rows.where(is_finite(F.col(base)) & is_finite(F.col(usual)) & (F.col(base) > 0) & (F.col(usual) > 0))
+    points = sound.withColumn("price", F.explode(value_grid(F.col(base) * low, F.col(base) * high, step)))
+    return points.withColumn("price_ratio", F.col("price") / F.col(usual))
+
+
+def best_prices(curve: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Of a curve with ``price`` and ``chance`` the point of each key with the highest revenue, the lowest price among ties."""
+    revenue = F.col("price") * F.col("chance")
+    best = F.max_by(F.struct("price", "chance", revenue.alias("revenue")), F.struct(revenue, -F.col("price")))
+    return curve.groupBy(*keys).agg(best.alias("b")).select(*keys, "b.*")

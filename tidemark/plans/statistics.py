@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.dates import calendar_parts
+from tidemark.functions.numbers import amount
 from tidemark.operators import modelling as ml
 from tidemark.operators import statistics as st
-from tidemark.operators.relational import stacked
-from tidemark.session import load
+from tidemark.operators.relational import stacked, with_group_median
+from tidemark.session import load, stored_once
 
 
 def _rounded(df, places=6, keep=()):
@@ -22,7 +24,8 @@ def _monthly(spark, d):
 
 
 def describe_values(spark, d):
-    return _rounded(st.describe(load(spark, d, "events"), ["value"]).unionAll(st.describe(load(spark, d, "part"), ["p_size"])))
+    both = stacked([load(spark, d, "events").select("value"), load(spark, d, "part").select("p_size")])
+    return _rounded(st.describe(both, ["value", "p_size"]))
 
 
 def group_mean_count_std(spark, d):
@@ -63,8 +66,11 @@ def kruskal_h(spark, d):
 
 
 def kruskal_p(spark, d):
-    h, p = st.kruskal_test(load(spark, d, "events"), "event_type", "value")
-    return spark.createDataFrame([(h, p, p < 0.05)], "h double, p double, differs boolean")
+    return _rounded(st.kruskal_decided(load(spark, d, "events"), "event_type", "value"))
+
+
+def boxplot_fliers(spark, d):
+    return st.fliers(load(spark, d, "events"), "event_type", "value").select("event_id", "event_type", "value")
 
 
 def rank_auc(spark, d):
@@ -86,6 +92,30 @@ def paired_t(spark, d):
     return _rounded(st.paired_t(growth, F.col("orders"), F.col("price")))
 
 
+def pearson_p(spark, d):
+    """Correlation of every pair of monthly series, with its two-sided p-value."""
+    n = _monthly(spark, d).agg(F.count(F.lit(1)).cast("double").alias("n"))
+    rows = st.pearson_matrix(_monthly(spark, d), ["orders", "price", "customers", "position"]).crossJoin(F.broadcast(n))
+    t = F.abs("r") * F.sqrt((F.col("n") - 2) / (1 - F.col("r") * F.col("r")))
+    return _rounded(rows.select("left", "right", "r", (2 * st.t_p(t, F.col("n") - 2)).alias("p")))
+
+
+def regression_p(spark, d):
+    """The line through monthly counts of orders over time, with the p-value of its slope."""
+    fit = st.simple_regression(_monthly(spark, d), "position", "orders")
+    t = F.sqrt(F.col("r2") * (F.col("n") - 2) / (1 - F.col("r2")))
+    return _rounded(fit.select("slope", "intercept", "r2", "n", (2 * st.t_p(t, F.col("n") - 2)).alias("p")))
+
+
+def paired_t_p(spark, d):
+    """Whether the yearly growth of orders is greater than that of their mean price: t and its upper tail."""
+    order = Window.orderBy("year")
+    years = load(spark, d, "orders").groupBy(F.year("o_orderdate").alias("year")).agg(F.count(F.lit(1)).cast("double").alias("orders"), F.avg("o_totalprice").alias("price"))
+    growth = years.select(*[(F.col(c) / F.lag(c).over(order) - 1).alias(c) for c in ("orders", "price")])
+    tested = st.paired_t(growth, F.col("orders"), F.col("price"))
+    return _rounded(tested.withColumn("p", st.t_p(F.col("t"), F.col("n") - 1)))
+
+
 def growth_rates(spark, d):
     order = Window.orderBy("year")
     years = load(spark, d, "orders").groupBy(F.year("o_orderdate").alias("year")).agg(F.count(F.lit(1)).alias("n"))
@@ -149,53 +179,118 @@ def _model_rows(spark, d):
     return prepared.where(F.col("at") <= split), prepared.where(F.col("at") > split)
 
 
-def _tuned(train, *names):
-    """Models with the settings that a search over the survey's grids and five expanding folds finds best."""
-    candidates = {n: g for n, g in ml.grids().items() if not names or n in names}
-    return ml.best_settings(ml.search_grids(train, "at", "l_extendedprice", candidates, 5), candidates, train.count())
+def _scores(spark, d, train):
+    """Scores of the whole grid, searched and written when a query of the session first asks for them."""
+    search = lambda: ml.search_grids(train, "at", "l_extendedprice", ml.grids(), 5)
+    return spark.read.parquet(stored_once(spark, ("grid scores", d), lambda to: search().write.parquet(to)))
+
+
+def _stacked(train, test, tuned, n):
+    stack = ml.Stack({name: tuned[name] for name in ("forest", "boosting", "ridge")}, folds=5, ridge=1.0 / max(n, 1)).fit(train, "at")
+    return stack.predict(test)
 
 
 def forecast_leaderboard(spark, d):
+    """The six models with their best settings and the stack of three of them, on the rows of the last fifth of time."""
     train, test = _model_rows(spark, d)
-    return ml.leaderboard(train, test, "l_extendedprice", _tuned(train))
+    n = train.count()
+    tuned = ml.best_settings(_scores(spark, d, train), ml.grids(), n)
+    return ml.leaderboard(train, test, "l_extendedprice", tuned, {"stacking": _stacked(train, test, tuned, n)})
 
 
 def stacking_forecast(spark, d):
     train, test = _model_rows(spark, d)
-    stack = ml.Stack(_tuned(train, "forest", "boosting", "ridge"), folds=5, ridge=1.0 / max(train.count(), 1)).fit(train, "at")
-    return st.regression_metrics(stack.predict(test), F.col("l_extendedprice"), F.col("predicted"))
+    n = train.count()
+    tuned = ml.best_settings(_scores(spark, d, train), ml.grids(), n)
+    return st.regression_metrics(_stacked(train, test, tuned, n), F.col("l_extendedprice"), F.col("predicted"))
 
 
 def fold_scores(spark, d):
     train, _ = _model_rows(spark, d)
-    return ml.search_grids(train, "at", "l_extendedprice", ml.grids(), 5)
+    return _scores(spark, d, train)
+
+
+def best_params(spark, d):
+    train, _ = _model_rows(spark, d)
+    return ml.best_params(_scores(spark, d, train))
 
 
 def feature_importance(spark, d):
     train, _ = _model_rows(spark, d)
-    return ml.importances(ml.grids()["forest"]["trees=100, depth=20"](train.count()).fit(train), train)
+    return ml.importances(ml.grids()["forest"]["trees=100, depth=20"](train.count()).fit(train), train, prefix="p_type__v_")
+
+
+def _nights(spark, d):
+    """Nights of the calendar with their listing: what is known of a booking before it is made, and label (1 where booked)."""
+    listings = load(spark, d, "listings").where("id is not null").groupBy("id").agg(F.max_by(F.struct("room_type", "neighbourhood_cleansed", "accommodates", "number_of_reviews", "minimum_nights", "price"), F.struct("last_scraped", "row_id")).alias("l")).select("id", "l.*")
+    priced = listings.select("*", F.explode(F.array(amount(F.col("price")))).alias("base")).where("base > 0").drop("price")
+    priced = with_group_median(priced, ["neighbourhood_cleansed", "room_type"], "base", "median").withColumn("usual", F.coalesce("median", "base")).drop("median")
+    nights = load(spark, d, "calendar").select("listing_id", F.coalesce(F.try_to_date("calendar_date", "yyyy-MM-dd"), F.try_to_date("calendar_date", "dd/MM/yyyy")).alias("night"), (F.col("available") == "f").cast("double").alias("label")).where("night is not null and label is not null")
+    rows = nights.join(priced, nights.listing_id == priced.id).drop("listing_id")
+    return rows.select("*", *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"x_{c}") for c in ("accommodates", "number_of_reviews", "minimum_nights")], (F.col("base") / F.col("usual")).alias("price_ratio"), *[c.cast("double").alias(f"x_{n}") for n, c in calendar_parts(F.col("night")).items() if n != "year"]), priced
+
+
+_BOOKING = ["price_ratio", "x_accommodates", "x_number_of_reviews", "x_minimum_nights", "x_month", "x_weekday", "x_is_weekend"]
+
+
+_fitted: dict[tuple, tuple] = {}
+
+
+def _booking(spark, d):
+    """The classifier of bookings, fitted once in a session, its rows and the listings with their prices; every fifth listing is held out."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _fitted:
+        rows, priced = _nights(spark, d)
+        weighted = ml.balanced_weights(rows, "label")
+        prepare = ml.features(_BOOKING, ["room_type"]).fit(weighted)
+        prepared = prepare.transform(weighted)
+        held = F.pmod(F.xxhash64("id"), F.lit(5)) == 0
+        _fitted[key] = prepare, ml.classifier("label", trees=100, depth=30).fit(prepared.where(~held)), prepared.where(held), priced
+    return _fitted[key]
 
 
 def booking_model(spark, d):
-    rows = load(spark, d, "listings").where("host_is_superhost is not null").select((F.col("host_is_superhost") == "t").cast("double").alias("label"), F.col("accommodates").cast("double").alias("accommodates"), F.col("number_of_reviews").cast("double").alias("reviews"), "room_type", "row_id")
-    weighted = ml.balanced_weights(rows, "label")
-    prepared = ml.features(["accommodates", "reviews"], ["room_type"]).fit(weighted).transform(weighted)
-    part = F.pmod(F.xxhash64("row_id"), F.lit(10))
-    model = ml.classifier("label", trees=100, depth=30).fit(prepared.where(part < 8))
-    return st.rank_auc(ml.probability_of_one(model.transform(prepared.where(part >= 8))), F.col("label"), F.round("p1", 9))
+    _, model, held, _ = _booking(spark, d)
+    return st.rank_auc(ml.probability_of_one(model.transform(held)), F.col("label"), F.round("p1", 9))
+
+
+def _scored_curve(spark, d):
+    prepare, model, _, priced = _booking(spark, d)
+    day = F.to_date(F.lit("2026-12-24"))
+    rows = priced.select("id", "room_type", "base", "usual", *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"x_{c}") for c in ("accommodates", "number_of_reviews", "minimum_nights")], *[c.cast("double").alias(f"x_{n}") for n, c in calendar_parts(day).items() if n != "year"])
+    scored = ml.probability_of_one(model.transform(prepare.transform(ml.price_curve(rows, "base", "usual"))), "chance")
+    return scored.select("id", "base", "price", "chance", (F.col("price") * F.col("chance")).alias("revenue"))
+
+
+def _curve(spark, d):
+    """The curves of all listings, scored and written when a query of the session first asks for them."""
+    return spark.read.parquet(stored_once(spark, ("revenue curve", d), lambda to: _scored_curve(spark, d).write.parquet(to)))
+
+
+def revenue_curve(spark, d):
+    """Of every listing and price of its grid the chance of a booking on one given day, by the classifier, and the revenue expected."""
+    return _curve(spark, d)
+
+
+def optimal_prices(spark, d):
+    """Of every listing the price with the highest revenue expected on that day."""
+    return ml.best_prices(_curve(spark, d), ["id", "base"])
 
 
 QUERIES = {
     f.__name__: f
     for f in (
         describe_values, group_mean_count_std, named_summary, quantiles_by_group, within_fences, fences, language_counts, histogram_40, boxplot_by_type, kruskal_h, kruskal_p, rank_auc, pearson_matrix, simple_regression,
-        paired_t, growth_rates, trend_forecast, regression_metrics, alert_metrics, tails, impute_scale, fill_mode, one_hot, class_weights, expanding_folds, forecast_leaderboard, stacking_forecast, fold_scores, feature_importance, booking_model,
+        paired_t, growth_rates, trend_forecast, regression_metrics, alert_metrics, tails, impute_scale, fill_mode, one_hot, class_weights, expanding_folds, forecast_leaderboard, stacking_forecast, fold_scores, best_params, feature_importance, booking_model,
+        boxplot_fliers, pearson_p, regression_p, paired_t_p, revenue_curve, optimal_prices,
     )
 }
 
 _DESCRIBE = "SELECT '{c}' AS column_name, count({c}) AS count, round(avg({c}), 6) AS mean, round(stddev_samp({c}), 6) AS std, round(min({c}), 6) AS min, round(quantile_cont({c}, 0.25), 6) AS p25, round(quantile_cont({c}, 0.5), 6) AS p50, round(quantile_cont({c}, 0.75), 6) AS p75, round(max({c}), 6) AS max, round(skewness({c}), 6) AS skew FROM (SELECT CAST({c} AS DOUBLE) AS {c} FROM {t})"
 _MONTHS = "months AS (SELECT strftime(o_orderdate, '%Y-%m') AS month, CAST(count(*) AS DOUBLE) AS orders, avg(o_totalprice) AS price, CAST(count(DISTINCT o_custkey) AS DOUBLE) AS customers, CAST(max(year(o_orderdate) * 12 + month(o_orderdate)) AS DOUBLE) AS position FROM orders GROUP BY 1)"
 _FENCE = "f AS (SELECT quantile_cont(l_extendedprice, 0.25) AS q1, quantile_cont(l_extendedprice, 0.75) AS q3 FROM lineitem)"
+#: Upper tail of t with v degrees of freedom, by Simpson's rule over 20,000 steps i.
+_TAIL = "(0.5 - t / 20000 / 3 * sum((CASE WHEN i IN (0, 20000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * exp(lgamma((v + 1) / 2.0::DOUBLE) - lgamma(v / 2.0::DOUBLE) - 0.5 * ln(v * pi()) - (v + 1) / 2.0::DOUBLE * ln(1 + pow(t * i / 20000, 2) / v))))"
 ORACLE = {
     "describe_values": _DESCRIBE.format(c="value", t="events") + " UNION ALL " + _DESCRIBE.format(c="p_size", t="part"),
     "group_mean_count_std": "SELECT event_type, round(avg(value), 6) AS mean, count(value) AS n, round(stddev_samp(value), 6) AS std FROM events WHERE event_type IS NOT NULL GROUP BY 1",
@@ -220,4 +315,10 @@ ORACLE = {
     "fill_mode": "SELECT row_id, coalesce(host_is_superhost, (SELECT host_is_superhost FROM listings WHERE host_is_superhost IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)) AS host_is_superhost FROM listings",
     "one_hot": 'SELECT c_custkey, c_mktsegment, CAST(c_mktsegment = \'BUILDING\' AS INTEGER) AS "c_mktsegment_BUILDING", CAST(c_mktsegment = \'FURNITURE\' AS INTEGER) AS "c_mktsegment_FURNITURE", CAST(c_mktsegment = \'HOUSEHOLD\' AS INTEGER) AS "c_mktsegment_HOUSEHOLD", CAST(c_mktsegment = \'MACHINERY\' AS INTEGER) AS "c_mktsegment_MACHINERY" FROM customer',
     "class_weights": "SELECT l_returnflag, round(sum(count(*)) OVER () / (count(*) OVER () * count(*)), 6) AS weight FROM lineitem GROUP BY 1",
+    "kruskal_p": "WITH " + st.KRUSKAL_SQL.format(key="event_type", value="value", table="events") + " SELECT round(h, 6) AS h, groups, n, round(p, 6) AS p, p < 0.05 AS differs FROM tested",
+    "boxplot_fliers": "WITH q AS (SELECT event_type, quantile_cont(value, 0.25) AS a, quantile_cont(value, 0.75) AS b FROM events GROUP BY 1) SELECT event_id, event_type, value FROM events JOIN q USING (event_type) WHERE value NOT BETWEEN a - 1.5::DOUBLE * (b - a) AND b + 1.5::DOUBLE * (b - a)",
+    "pearson_p": f"WITH {_MONTHS}, c AS (" + " UNION ALL ".join(f"SELECT '{a}' AS left, '{b}' AS right, corr({a}, {b}) AS r, count(*) - 2 AS v FROM months" for k, a in enumerate(("orders", "price", "customers", "position")) for b in ("orders", "price", "customers", "position")[k + 1 :]) + f"), x AS (SELECT *, abs(r) * sqrt(v / (1 - r * r)) AS t FROM c) SELECT x.left, x.right, round(r, 6) AS r, abs(round(2 * {_TAIL}, 6)) AS p FROM x, generate_series(0, 20000) s(i) GROUP BY x.left, x.right, r, v, t",
+    "regression_p": f"WITH {_MONTHS}, c AS (SELECT regr_slope(orders, position) AS slope, regr_intercept(orders, position) AS intercept, regr_r2(orders, position) AS r2, CAST(count(*) AS BIGINT) AS n FROM months), x AS (SELECT *, n - 2 AS v, sqrt(r2 * (n - 2) / (1 - r2)) AS t FROM c) SELECT round(slope, 6) AS slope, round(intercept, 6) AS intercept, round(r2, 6) AS r2, n, round(2 * {_TAIL}, 6) AS p FROM x, generate_series(0, 20000) s(i) GROUP BY slope, intercept, r2, n, v, t",
+    "paired_t_p": f"WITH y AS (SELECT year(o_orderdate) AS year, CAST(count(*) AS DOUBLE) AS orders, avg(o_totalprice) AS price FROM orders GROUP BY 1), g AS (SELECT (orders / lag(orders) OVER (ORDER BY year) - 1) - (price / lag(price) OVER (ORDER BY year) - 1) AS d FROM y), x AS (SELECT avg(d) / (stddev_samp(d) / sqrt(count(d))) AS t, count(d) AS n, count(d) - 1 AS v FROM g) SELECT round(t, 6) AS t, n, round({_TAIL}, 6) AS p FROM x, generate_series(0, 20000) s(i) GROUP BY t, n, v",
+    "expanding_folds": "WITH o AS (SELECT CAST(epoch(o_orderdate) AS BIGINT) AS s FROM orders), q AS (SELECT quantile_cont(s, 1 / 6.0::DOUBLE) AS a, quantile_cont(s, 2 / 6.0::DOUBLE) AS b, quantile_cont(s, 3 / 6.0::DOUBLE) AS c, quantile_cont(s, 4 / 6.0::DOUBLE) AS d, quantile_cont(s, 5 / 6.0::DOUBLE) AS e FROM o), p AS (SELECT s, CAST(s > a AS INTEGER) + CAST(s > b AS INTEGER) + CAST(s > c AS INTEGER) + CAST(s > d AS INTEGER) + CAST(s > e AS INTEGER) AS block FROM o, q) SELECT CAST(k AS INTEGER) AS fold, CASE WHEN block < k THEN 'train' ELSE 'validate' END AS side, count(*) AS n, min(s) AS first_at, max(s) AS last_at FROM p, generate_series(1, 5) f(k) WHERE block <= k GROUP BY ALL",
 }

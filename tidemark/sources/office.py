@@ -54,20 +54,62 @@ def pptx_rows(data: bytes) -> Iterator[tuple[int, str, str]]:
                 yield number, "slide", "\n".join(found)
 
 
+_REFERENCE = re.compile(r"\"[^\"]*\"|'[^']*'|(?<![A-Za-z0-9_.])(\$?)([A-Z]{1,3})(\$?)(\d+)(?![A-Za-z0-9_(])")
+
+
+def _column(letters: str) -> int:
+    n = 0
+    for c in letters:
+        n = n * 26 + ord(c) - 64
+    return n
+
+
+def _letters(column: int) -> str:
+    out = ""
+    while column > 0:
+        column, rest = divmod(column - 1, 26)
+        out = chr(65 + rest) + out
+    return out
+
+
+def shifted(formula: str, columns: int, rows: int) -> str:
+    """A formula as it reads so many columns and rows further on: references without $ move, those that leave the sheet are #REF!."""
+
+    def move(m: re.Match) -> str:
+        if m[2] is None:
+            return m[0]
+        column, row = _column(m[2]) + (0 if m[1] else columns), int(m[4]) + (0 if m[3] else rows)
+        return f"{m[1]}{_letters(column)}{m[3]}{row}" if column > 0 and row > 0 else "#REF!"
+
+    return _REFERENCE.sub(move, formula)
+
+
 def xlsx_rows(data: bytes) -> Iterator[tuple[str, str, str | None, str | None]]:
-    """Sheet, cell, formula and cached value of each cell that has one."""
+    """Sheet, cell, formula and cached value of each cell that has one. Cells that share a formula get it as it reads for them."""
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         shared = ["".join(_texts(s)) for s in ElementTree.fromstring(z.read("xl/sharedStrings.xml")) if _local(s.tag) == "si"] if "xl/sharedStrings.xml" in z.namelist() else []
         book = ElementTree.fromstring(z.read("xl/workbook.xml"))
         links = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
         for sheet in (x for x in book.iter() if _local(x.tag) == "sheet"):
+            sharing: dict[str, tuple[str, int, int]] = {}
             target = links[next(v for k, v in sheet.attrib.items() if _local(k) == "id")].lstrip("/")
             for cell in (x for x in ElementTree.fromstring(z.read(target if target.startswith("xl/") else f"xl/{target}")).iter() if _local(x.tag) == "c"):
                 parts = {_local(x.tag): x for x in cell}
                 value = parts["v"].text if "v" in parts else _texts(parts["is"]) if "is" in parts else None
                 if value is not None and cell.get("t") == "s":
                     value = shared[int(value)]
-                formula = "=" + (parts["f"].text or "") if "f" in parts else None
+                formula = None
+                if "f" in parts:
+                    written, group = parts["f"].text or "", parts["f"].get("si") if parts["f"].get("t") == "shared" else None
+                    if group is not None:
+                        at = re.fullmatch(r"([A-Z]+)(\d+)", cell.get("r"))
+                        here = (_column(at[1]), int(at[2]))
+                        if written:
+                            sharing[group] = (written, *here)
+                        elif group in sharing:
+                            first, column, row = sharing[group]
+                            written = shifted(first, here[0] - column, here[1] - row)
+                    formula = "=" + written
                 if value is not None or formula is not None:
                     yield sheet.get("name"), cell.get("r"), formula, value
 
@@ -108,6 +150,13 @@ def sheet_size(cells: DataFrame) -> DataFrame:
     return cells.where("error is null").groupBy("path", "sheet").agg(F.max(F.regexp_extract("cell", r"(\d+)$", 1).cast("int")).alias("max_row"), F.max(column).alias("max_column"))
 
 
+def first_cells(cells: DataFrame, n: int = 12) -> DataFrame:
+    """path, sheet, row, cells of ``read_xlsx``: of each row of a sheet the first ``n`` cells that hold something, as 'A1=value' texts."""
+    letters = F.regexp_extract("cell", "^([A-Z]+)", 1)
+    held = cells.where("error is null").select("path", "sheet", F.regexp_extract("cell", r"(\d+)$", 1).cast("int").alias("row"), F.struct(F.length(letters).alias("w"), letters.alias("l"), F.concat_ws("=", "cell", F.coalesce("value", "formula")).alias("t")).alias("c"))
+    return held.groupBy("path", "sheet", "row").agg(F.transform(F.slice(F.array_sort(F.collect_list("c")), 1, n), lambda c: c["t"]).alias("cells"))
+
+
 NOTEBOOK = "cells array<struct<cell_type:string, source:variant, outputs:array<struct<output_type:string, text:variant, data:map<string,variant>>>>>"
 
 

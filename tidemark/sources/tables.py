@@ -12,16 +12,37 @@ from pyspark.sql import types as T
 MISSING = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None, columns: Sequence[str] | None = None, encoding: str = "UTF-8", missing: Sequence[str] = MISSING) -> DataFrame:
-    """A table with a header line. Without ``schema`` every column is text; ``columns`` are the only ones parsed.
+def read_csv(
+    spark: SparkSession,
+    path: str,
+    schema: T.StructType | str | None = None,
+    columns: Sequence[str] | None = None,
+    encoding: str = "UTF-8",
+    missing: Sequence[str] = MISSING,
+    infer: bool = False,
+    multi_line: bool = True,
+    torn: str | None = None,
+) -> DataFrame:
+    """A table with a header line. Without ``schema`` every column is text, or of the type its values have (``infer``: one more
+    pass); ``columns`` are the only ones given.
 
-    Texts in ``missing`` become null. Numbers and dates of a schema that cannot be read become null.
+    Texts in ``missing`` become null. Numbers and dates of a schema that cannot be read become null. Quoted values may go over
+    several lines; where none does, ``multi_line`` off lets one file be read by many tasks. ``torn`` names a column that holds the
+    text of records that do not fit the columns or the schema, else null.
     """
-    reader = spark.read.option("header", True).option("encoding", encoding).option("quote", '"').option("escape", '"').option("multiLine", False).option("mode", "PERMISSIVE")
+    reader = spark.read.option("header", True).option("encoding", encoding).option("quote", '"').option("escape", '"').option("multiLine", multi_line).option("mode", "PERMISSIVE").option("inferSchema", infer)
     df = reader.schema(schema).csv(path) if schema is not None else reader.csv(path)
+    if torn:
+        df = reader.option("columnNameOfCorruptRecord", torn).schema(T.StructType([*df.schema.fields, T.StructField(torn, T.StringType())])).csv(path)
     if columns:
-        df = df.select(*[F.col(f"`{c}`") for c in columns])
-    return df.select(*[F.when(F.col(f"`{f.name}`").isin(*missing), None).otherwise(F.col(f"`{f.name}`")).alias(f.name) if isinstance(f.dataType, T.StringType) else F.col(f"`{f.name}`") for f in df.schema])
+        df = df.select(*[F.col(f"`{c}`") for c in [*columns, *([torn] if torn else [])]])
+    kept = lambda f: not isinstance(f.dataType, T.StringType) or f.name == torn
+    return df.select(*[F.col(f"`{f.name}`") if kept(f) else F.when(F.col(f"`{f.name}`").isin(*missing), None).otherwise(F.col(f"`{f.name}`")).alias(f.name) for f in df.schema])
+
+
+def table_text(df: DataFrame, rows: int = 20) -> str:
+    """The first rows as an aligned table for a console, values in full."""
+    return df._show_string(rows, False, False)
 
 
 def read_jdbc(spark: SparkSession, url: str, table: str, key: str, low: int, high: int, partitions: int, **options: str) -> DataFrame:
