@@ -171,17 +171,19 @@ def expanding_folds(spark, d):
 
 
 def _model_rows(spark, d):
-    lines, part = load(spark, d, "lineitem"), load(spark, d, "part")
-    rows = lines.join(part, lines.l_partkey == part.p_partkey).select("l_extendedprice", F.col("l_quantity"), F.col("p_size").cast("double").alias("size"), F.col("p_retailprice").alias("retail"), "p_type", F.unix_seconds(F.col("l_shipdate").cast("timestamp")).alias("at"))
-    rows = ml.with_log_target(rows, "l_extendedprice")
-    prepared = ml.features(["l_quantity", "size", "retail"], ["p_type"]).fit(rows).transform(rows)
+    """Scrapes of listings with the amount asked for a night, within its fences: those of the first four fifths of time, and the rest."""
+    columns = ["room_type", "neighbourhood_cleansed", F.unix_seconds(F.col("last_scraped").cast("timestamp")).alias("at"), F.explode(F.array(amount(F.col("price")))).alias("amount")]
+    numbers = [F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0)).alias(c) for c in ("accommodates", "bedrooms", "number_of_reviews", "minimum_nights", "review_scores_rating")]
+    rows = load(spark, d, "listings").select(*columns, *numbers).where("amount > 0 and at is not null")
+    rows = ml.with_log_target(st.within_fences(rows, "amount"), "amount").withColumn("year", F.col("at") / 31_557_600.0 - 50)
+    prepared = ml.features(["accommodates", "bedrooms", "number_of_reviews", "minimum_nights", "review_scores_rating", "year"], ["room_type", "neighbourhood_cleansed"]).fit(rows).transform(rows)
     split = st.exact_quantiles(rows, [], F.col("at"), {"s": 0.8}).first()["s"] or 0.0
     return prepared.where(F.col("at") <= split), prepared.where(F.col("at") > split)
 
 
 def _scores(spark, d, train):
     """Scores of the whole grid, searched and written when a query of the session first asks for them."""
-    search = lambda: ml.search_grids(train, "at", "l_extendedprice", ml.grids(), 5)
+    search = lambda: ml.search_grids(train, "at", "amount", ml.grids(), 5)
     return spark.read.parquet(stored_once(spark, ("grid scores", d), lambda to: search().write.parquet(to)))
 
 
@@ -195,14 +197,14 @@ def forecast_leaderboard(spark, d):
     train, test = _model_rows(spark, d)
     n = train.count()
     tuned = ml.best_settings(_scores(spark, d, train), ml.grids(), n)
-    return ml.leaderboard(train, test, "l_extendedprice", tuned, {"stacking": _stacked(train, test, tuned, n)})
+    return ml.leaderboard(train, test, "amount", tuned, {"stacking": _stacked(train, test, tuned, n)})
 
 
 def stacking_forecast(spark, d):
     train, test = _model_rows(spark, d)
     n = train.count()
     tuned = ml.best_settings(_scores(spark, d, train), ml.grids(), n)
-    return st.regression_metrics(_stacked(train, test, tuned, n), F.col("l_extendedprice"), F.col("predicted"))
+    return st.regression_metrics(_stacked(train, test, tuned, n), F.col("amount"), F.col("predicted"))
 
 
 def fold_scores(spark, d):
@@ -217,7 +219,7 @@ def best_params(spark, d):
 
 def feature_importance(spark, d):
     train, _ = _model_rows(spark, d)
-    return ml.importances(ml.grids()["forest"]["trees=100, depth=20"](train.count()).fit(train), train, prefix="p_type__v_")
+    return ml.importances(ml.grids()["forest"]["trees=100, depth=20"](train.count()).fit(train), train, prefix="neighbourhood_cleansed__v_")
 
 
 def _nights(spark, d):
