@@ -187,9 +187,10 @@ def _scores(spark, d, train):
     return spark.read.parquet(stored_once(spark, ("grid scores", d), lambda to: search().write.parquet(to)))
 
 
-def _stacked(train, test, tuned, n):
-    stack = ml.Stack({name: tuned[name] for name in ("forest", "boosting", "ridge")}, folds=5, ridge=1.0 / max(n, 1)).fit(train, "at")
-    return stack.predict(test)
+def _stacked(spark, d, train, test, tuned, n):
+    """The test rows as the stack predicts them, written when a query of the session first asks for them."""
+    stack = lambda: ml.Stack({name: tuned[name] for name in ("forest", "boosting", "ridge")}, folds=5, ridge=1.0 / max(n, 1)).fit(train, "at")
+    return spark.read.parquet(stored_once(spark, ("stacked", d), lambda to: stack().predict(test).select("amount", "predicted").write.parquet(to)))
 
 
 def forecast_leaderboard(spark, d):
@@ -197,14 +198,14 @@ def forecast_leaderboard(spark, d):
     train, test = _model_rows(spark, d)
     n = train.count()
     tuned = ml.best_settings(_scores(spark, d, train), ml.grids(), n)
-    return ml.leaderboard(train, test, "amount", tuned, {"stacking": _stacked(train, test, tuned, n)})
+    return ml.leaderboard(train, test, "amount", tuned, {"stacking": _stacked(spark, d, train, test, tuned, n)})
 
 
 def stacking_forecast(spark, d):
     train, test = _model_rows(spark, d)
     n = train.count()
     tuned = ml.best_settings(_scores(spark, d, train), ml.grids(), n)
-    return st.regression_metrics(_stacked(train, test, tuned, n), F.col("amount"), F.col("predicted"))
+    return st.regression_metrics(_stacked(spark, d, train, test, tuned, n), F.col("amount"), F.col("predicted"))
 
 
 def fold_scores(spark, d):
