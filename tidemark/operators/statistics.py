@@ -68,7 +68,8 @@ def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     x = F.col("_x")
     rows = long.groupBy("column_name").agg(F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"), adjusted_skew(x).alias("skew"))
     q = exact_quantiles(long, ["column_name"], x, {"p25": 0.25, "p50": 0.5, "p75": 0.75})
-    return rows.join(q, "column_name", "left").select("column_name", "count", "mean", "std", "min", "p25", "p50", "p75", "max", "skew")
+    names = df.sparkSession.createDataFrame([(c,) for c in columns], "column_name string")
+    return names.join(rows, "column_name", "left").join(q, "column_name", "left").select("column_name", F.coalesce("count", F.lit(0)).alias("count"), "mean", "std", "min", "p25", "p50", "p75", "max", "skew")
 
 
 def fences(df: DataFrame, column: str, factor: float = 1.5) -> DataFrame:
