@@ -12,7 +12,7 @@ from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators.relational import is_finite, value_grid, with_position
@@ -133,31 +133,38 @@ def expanding_folds(df: DataFrame, time: str, folds: int = 5) -> list[tuple[Data
     return [(blocked.where(F.col("block") < k), blocked.where(F.col("block") == k)) for k in range(1, folds + 1)]
 
 
+def at_once(spark: SparkSession, work: Callable, tasks: Sequence, threads: int = 16) -> list:
+    """``work`` of every task, several at a time: a single fit is a long row of short jobs that leave most of a cluster idle."""
+    with ThreadPool(max(1, min(threads, len(tasks)))) as pool:
+        return pool.map(inheritable_thread_target(spark)(work), tasks, 1)
+
+
 def leaderboard(train: DataFrame, test: DataFrame, target: str, models: Mapping[str, Estimator], others: Mapping[str, DataFrame] | None = None) -> DataFrame:
     """model, rmse, mae, r2 on the test rows, best first; ``others`` are test rows that a further model has predicted."""
-    scored = {name: predict(estimator.fit(train), test) for name, estimator in models.items()} | dict(others or {})
+    train = train.cache()
+    train.count()
+    fitted = at_once(train.sparkSession, lambda pair: (pair[0], pair[1].fit(train)), list(models.items()))
+    train.unpersist()
+    scored = {name: predict(model, test) for name, model in fitted} | dict(others or {})
     rows = [regression_metrics(rows, F.col(target), F.col("predicted")).select(F.lit(name).alias("model"), "rmse", "mae", "r2") for name, rows in scored.items()]
     return reduce(DataFrame.unionAll, rows).orderBy("rmse")
 
 
-def search_grids(df: DataFrame, time: str, target: str, candidates: Candidates, folds: int = 5, threads: int = 8) -> DataFrame:
-    """model, params, fold, rmse on the original scale, of every setting of every model over expanding folds.
-
-    ``threads`` settings of a fold are fitted at a time, since a single fit leaves most of a cluster idle.
-    """
-    rows = []
+def search_grids(df: DataFrame, time: str, target: str, candidates: Candidates, folds: int = 5, threads: int = 16) -> DataFrame:
+    """model, params, fold, rmse on the original scale, of every setting of every model over expanding folds, ``threads`` fits at a time."""
+    held = []
     for k, (train, held_out) in enumerate(expanding_folds(df, time, folds), 1):
         train, held_out = train.cache(), held_out.cache()
-        n = train.count()
+        held.append((k, train, held_out, train.count()))
 
-        def score(setting, k=k, train=train, held_out=held_out, n=n):
-            name, params, make = setting
-            scored = predict(make(n).fit(train), held_out)
-            return name, params, k, regression_metrics(scored, F.col(target), F.col("predicted")).first()["rmse"]
+    def score(task):
+        (k, train, held_out, n), name, params, make = task
+        return name, params, k, regression_metrics(predict(make(n).fit(train), held_out), F.col(target), F.col("predicted")).first()["rmse"]
 
-        settings = [(name, params, make) for name, grid in candidates.items() for params, make in grid.items()]
-        with ThreadPool(threads) as pool:
-            rows += pool.map(inheritable_thread_target(df.sparkSession)(score), settings, 1)
+    # The longest fits, those of the last models and folds, first.
+    tasks = [(fold, name, params, make) for name, grid in reversed(candidates.items()) for params, make in reversed(grid.items()) for fold in reversed(held)]
+    rows = at_once(df.sparkSession, score, tasks, threads)
+    for _, train, held_out, _ in held:
         train.unpersist(), held_out.unpersist()
     return df.sparkSession.createDataFrame(rows, "model string, params string, fold int, rmse double")
 
@@ -183,18 +190,17 @@ class Stack:
     def fit(self, df: DataFrame, time: str) -> Stack:
         """``df``: features and log_target. Folds are consecutive blocks of ``time``."""
         blocked = time_blocks(df, time, self.folds - 1).cache()
-        held = None
-        for k in range(self.folds):
-            part = self._bases_of(blocked.where(F.col("block") != k), blocked.where(F.col("block") == k))
-            held = part if held is None else held.unionByName(part)
+        blocked.count()
+        # All blocks but one for each of the out-of-fold models, and all of them for the models that are kept.
+        parts = {k: blocked.where(F.col("block") != k) for k in range(self.folds)} | {None: blocked}
+        tasks = [(k, name) for name in reversed(self.bases) for k in parts]
+        fitted = dict(zip(tasks, at_once(df.sparkSession, lambda task: self.bases[task[1]].fit(parts[task[0]]), tasks), strict=True))
+        held = reduce(DataFrame.unionByName, [self._scored({n: fitted[k, n] for n in self.bases}, blocked.where(F.col("block") == k)) for k in range(self.folds)])
         self.meta = LinearRegression(labelCol="log_target", featuresCol="_stacked", regParam=self.ridge).fit(self._gathered(held))
-        self.models = {n: e.fit(blocked) for n, e in self.bases.items()}
+        self.models = {n: fitted[None, n] for n in self.bases}
         blocked.unpersist()
         return self
 
-    def _bases_of(self, train: DataFrame, rows: DataFrame) -> DataFrame:
-        return self._scored({n: e.fit(train) for n, e in self.bases.items()}, rows)
-
     @staticmethod
     def _scored(models: Mapping[str, Model], rows: DataFrame) -> DataFrame:
         for name, model in models.items():
