@@ -164,9 +164,14 @@ def rows_examined(df: DataFrame) -> int:
 
 
 def chat_turns(df: DataFrame, row_id: str, text: str) -> DataFrame:
-    """Turns of chat texts '[09:35] name: words': row id, turn, minute, speaker, message."""
-    lines = df.select(F.col(row_id), F.posexplode(F.split(F.col(text), r"\r\n|\r|\n|\s+(?=\[\d\d:\d\d\] )")).alias("turn", "_line"))
-    shape = r"(?s)^\s*\[(\d\d):(\d\d)\] ([^:\s]+): (.*)$"
+    """Turns of chat texts '[09:35] name: words': row id, turn, minute, speaker, message.
+
+    White space is that of RE2 (a vertical tab is none), as in the queries' SQL, and a mark of time that follows another one on
+    its line begins no turn where the white space between them belongs to the mark before.
+    """
+    cut_up = F.regexp_replace(F.col(text), r"[ \t\f][ \t\n\f\r]*(\[\d\d:\d\d\] )", "\n$1")
+    lines = df.select(F.col(row_id), F.posexplode(F.split(cut_up, r"\r\n|\r|\n")).alias("turn", "_line"))
+    shape = r"(?s)^[ \t\n\f\r]*\[(\d\d):(\d\d)\] ([^: \t\n\f\r]+): (.*)$"
     part = lambda k: F.regexp_extract("_line", shape, k)
     return lines.where(F.rlike("_line", F.lit(shape))).select(row_id, "turn", (part(1).cast("int") * 60 + part(2).cast("int")).alias("minute"), part(3).alias("speaker"), part(4).alias("message"))
 
