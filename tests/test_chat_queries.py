@@ -18,7 +18,7 @@ CHATS = [
 ]
 
 
-@pytest.mark.parametrize("name", ["chat_turns", "keyword_context", "novel_terms"])
+@pytest.mark.parametrize("name", ["chat_turns", "keyword_context", "novel_terms", "chat_intents"])
 def test_odd_white_space(spark, tmp_path, name):
     spark.createDataFrame(CHATS, "doc_id bigint, text string, kind string").write.parquet(str(tmp_path / "documents.parquet"))
     con = duckdb.connect()
