@@ -9,7 +9,7 @@ from multiprocessing.pool import ThreadPool
 from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, StringIndexer, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -71,6 +71,15 @@ def features(numeric: Sequence[str], categories: Sequence[str], out: str = "feat
     return Pipeline(stages=[s for s in (index, hot, gather) if s is not None])
 
 
+def coded(df: DataFrame, categories: Sequence[str], labels: Sequence[Sequence[str]] | None = None) -> tuple[DataFrame, list[list[str]]]:
+    """``df`` with '<column>__i', the place of each category among ``labels`` (by default the column's values, the most frequent
+    first), or their number for null and unknown ones; and the labels."""
+    ways = [StringIndexerModel.from_labels(list(of), c, f"{c}__i", handleInvalid="keep") for c, of in zip(categories, labels, strict=True)] if labels else [StringIndexer(inputCol=c, outputCol=f"{c}__i", handleInvalid="keep").fit(df) for c in categories]
+    for way in ways:
+        df = way.transform(df)
+    return df.withColumns({f"{c}__i": F.col(f"{c}__i").cast("int") for c in categories}), [list(way.labels) for way in ways]
+
+
 def classifier(label: str, trees: int = 100, depth: int = 30, seed: int = 42) -> RandomForestClassifier:
     return RandomForestClassifier(labelCol=label, featuresCol="features", weightCol="weight", numTrees=trees, maxDepth=depth, seed=seed)
 

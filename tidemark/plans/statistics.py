@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.dates import calendar_parts
 from tidemark.functions.numbers import amount
+from tidemark.operators import fitting as fit
 from tidemark.operators import modelling as ml
 from tidemark.operators import statistics as st
 from tidemark.operators.relational import stacked, with_group_median
-from tidemark.session import load, stored_once
+from tidemark.session import cut, load, stored_once
 
 
 def _rounded(df, places=6, keep=()):
@@ -171,56 +172,75 @@ def expanding_folds(spark, d):
 
 
 def _model_rows(spark, d):
-    """Scrapes of listings with the amount asked for a night, within its fences: those of the first four fifths of time, and the rest."""
+    """Scrapes of listings with the amount asked for a night, within its fences."""
     columns = ["room_type", "neighbourhood_cleansed", F.unix_seconds(F.col("last_scraped").cast("timestamp")).alias("at"), F.explode(F.array(amount(F.col("price")))).alias("amount")]
     numbers = [F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0)).alias(c) for c in ("accommodates", "bedrooms", "number_of_reviews", "minimum_nights", "review_scores_rating")]
     rows = load(spark, d, "listings").select(*columns, *numbers).where("amount > 0 and at is not null")
     rows = ml.with_log_target(st.within_fences(rows, "amount"), "amount").withColumn("year", F.col("at") / 31_557_600.0 - 50)
-    prepared = ml.features(["accommodates", "bedrooms", "number_of_reviews", "minimum_nights", "review_scores_rating", "year"], ["room_type", "neighbourhood_cleansed"]).fit(rows).transform(rows)
-    split = st.exact_quantiles(rows, [], F.col("at"), {"s": 0.8}).first()["s"] or 0.0
-    return prepared.where(F.col("at") <= split), prepared.where(F.col("at") > split)
+    return rows
 
 
-def _scores(spark, d, train):
+_NUMBERS = ("accommodates", "bedrooms", "number_of_reviews", "minimum_nights", "review_scores_rating", "year")
+_CATEGORIES = ("room_type", "neighbourhood_cleansed")
+_tables: dict[tuple, tuple] = {}
+
+
+def _model_table(spark, d):
+    """The rows written once in a session as a table for fitting: its folder, the numbers of categories, the names of the inputs and
+    the number of training rows, those of the first four fifths of time."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _tables:
+        rows = cut(_model_rows(spark, d))
+        split = st.exact_quantiles(rows, [], F.col("at"), {"s": 0.8}).first()["s"] or 0.0
+        coded, labels = ml.coded(rows, _CATEGORIES)
+        inputs = [F.col(c).cast("double").alias(f"n{k}") for k, c in enumerate(_NUMBERS)] + [F.col(f"{c}__i").alias(f"c{k}") for k, c in enumerate(_CATEGORIES)]
+        kept = coded.select("at", "amount", F.col("log_target").alias("y"), *inputs)
+        train = ml.time_blocks(ml.time_blocks(kept.where(F.col("at") <= split), "at", 5), "at", 4, "part")
+        test = kept.where(F.col("at") > split).withColumns({"block": F.lit(-1), "part": F.lit(-1)})
+        path = stored_once(spark, ("model rows", d), lambda to: train.unionByName(test).write.parquet(to))
+        n = spark.read.parquet(path).where("part >= 0").count()
+        _tables[key] = path, [len(v) for v in labels], [*_NUMBERS, *[f"{c}__v_{v}" for c, of in zip(_CATEGORIES, labels, strict=True) for v in of]], n
+    return _tables[key]
+
+
+def _scores(spark, d):
     """Scores of the whole grid, searched and written when a query of the session first asks for them."""
-    search = lambda: ml.search_grids(train, "at", "amount", ml.grids(), 5)
-    return spark.read.parquet(stored_once(spark, ("grid scores", d), lambda to: search().write.parquet(to)))
+    path, kinds, *_ = _model_table(spark, d)
+    return spark.read.parquet(stored_once(spark, ("grid scores", d), lambda to: fit.search(spark, path, kinds).write.parquet(to)))
 
 
-def _stacked(spark, d, train, test, tuned, n):
-    """The test rows as the stack predicts them, written when a query of the session first asks for them."""
-    stack = lambda: ml.Stack({name: tuned[name] for name in ("forest", "boosting", "ridge")}, folds=5, ridge=1.0 / max(n, 1)).fit(train, "at")
-    return spark.read.parquet(stored_once(spark, ("stacked", d), lambda to: stack().predict(test).select("amount", "predicted").write.parquet(to)))
+def _tuned_and_stacked(spark, d):
+    """The test rows as the six models with their best settings and the stack predict them, written when a query of the session
+    first asks for them."""
+    path, kinds, _, n = _model_table(spark, d)
+    names = {(m, fit.named(s)): s for m, of in fit.SETTINGS.items() for s in of}
+    tuned = lambda: {r["model"]: names[r["model"], r["params"]] for r in ml.best_params(_scores(spark, d)).collect()}
+    return spark.read.parquet(stored_once(spark, ("stacked", d), lambda to: fit.stacked(spark, path, kinds, tuned(), 5, 1.0 / max(n, 1)).write.parquet(to)))
 
 
 def forecast_leaderboard(spark, d):
     """The six models with their best settings and the stack of three of them, on the rows of the last fifth of time."""
-    train, test = _model_rows(spark, d)
-    n = train.count()
-    tuned = ml.best_settings(_scores(spark, d, train), ml.grids(), n)
-    return ml.leaderboard(train, test, "amount", tuned, {"stacking": _stacked(spark, d, train, test, tuned, n)})
+    rows = _tuned_and_stacked(spark, d)
+    scored = [st.regression_metrics(rows.where(F.col("model") == name), F.col("amount"), F.col("predicted")).select(F.lit(name).alias("model"), "rmse", "mae", "r2") for name in (*fit.SETTINGS, "stacking")]
+    return stacked(scored).orderBy("rmse", "model")
 
 
 def stacking_forecast(spark, d):
-    train, test = _model_rows(spark, d)
-    n = train.count()
-    tuned = ml.best_settings(_scores(spark, d, train), ml.grids(), n)
-    return st.regression_metrics(_stacked(spark, d, train, test, tuned, n), F.col("amount"), F.col("predicted"))
+    return st.regression_metrics(_tuned_and_stacked(spark, d).where("model = 'stacking'"), F.col("amount"), F.col("predicted"))
 
 
 def fold_scores(spark, d):
-    train, _ = _model_rows(spark, d)
-    return _scores(spark, d, train)
+    return _scores(spark, d)
 
 
 def best_params(spark, d):
-    train, _ = _model_rows(spark, d)
-    return ml.best_params(_scores(spark, d, train))
+    return ml.best_params(_scores(spark, d))
 
 
 def feature_importance(spark, d):
-    train, _ = _model_rows(spark, d)
-    return ml.importances(ml.grids()["forest"]["trees=100, depth=20"](train.count()).fit(train), train, prefix="neighbourhood_cleansed__v_")
+    path, kinds, names, _ = _model_table(spark, d)
+    named = spark.createDataFrame([(k, n.removeprefix("neighbourhood_cleansed__v_")) for k, n in enumerate(names)], "input int, feature string")
+    return fit.forest_importances(spark, path, kinds, 100, 20).join(F.broadcast(named), "input").select("feature", "importance").orderBy(F.desc("importance"), "feature").limit(15)
 
 
 def _nights(spark, d):
@@ -244,24 +264,35 @@ def _booking(spark, d):
     key = (spark.sparkContext.applicationId, d)
     if key not in _fitted:
         rows, priced = _nights(spark, d)
-        weighted = ml.balanced_weights(rows, "label")
-        prepare = ml.features(_BOOKING, ["room_type"]).fit(weighted)
-        prepared = prepare.transform(weighted)
+        weighted = cut(ml.balanced_weights(rows, "label"))
+        coded, labels = ml.coded(weighted, ["room_type"])
         held = F.pmod(F.xxhash64("id"), F.lit(5)) == 0
-        _fitted[key] = prepare, ml.classifier("label", trees=100, depth=30).fit(prepared.where(~held)), prepared.where(held), priced
+        kinds = [len(v) for v in labels]
+        train = stored_once(spark, ("booking rows", d), lambda to: coded.where(~held).select(F.col("label").alias("y"), "weight", *_booking_inputs()).write.parquet(to))
+        forest = stored_once(spark, ("booking forest", d), lambda to: fit.grow_forest(spark, train, kinds, 100, 30).write.parquet(to))
+        _fitted[key] = forest, labels, coded.where(held), priced
     return _fitted[key]
 
 
+def _booking_inputs():
+    return [F.col(c).cast("double").alias(f"n{k}") for k, c in enumerate(_BOOKING)] + [F.col("room_type__i").alias("c0")]
+
+
+def _chance(rows, forest, labels, out):
+    return fit.forest_chance(rows, forest, [len(v) for v in labels], 30, out)
+
+
 def booking_model(spark, d):
-    _, model, held, _ = _booking(spark, d)
-    return st.rank_auc(ml.probability_of_one(model.transform(held)), F.col("label"), F.round("p1", 9))
+    forest, labels, held, _ = _booking(spark, d)
+    return st.rank_auc(_chance(held.select("label", *_booking_inputs()), forest, labels, "p1"), F.col("label"), F.round("p1", 9))
 
 
 def _scored_curve(spark, d):
-    prepare, model, _, priced = _booking(spark, d)
+    forest, labels, _, priced = _booking(spark, d)
     day = F.to_date(F.lit("2026-12-24"))
     rows = priced.select("id", "room_type", "base", "usual", *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"x_{c}") for c in ("accommodates", "number_of_reviews", "minimum_nights")], *[c.cast("double").alias(f"x_{n}") for n, c in calendar_parts(day).items() if n != "year"])
-    scored = ml.probability_of_one(model.transform(prepare.transform(ml.price_curve(rows, "base", "usual"))), "chance")
+    points, _ = ml.coded(ml.price_curve(rows, "base", "usual"), ["room_type"], labels)
+    scored = _chance(points.select("id", "base", "price", *_booking_inputs()), forest, labels, "chance")
     return scored.select("id", "base", "price", "chance", (F.col("price") * F.col("chance")).alias("revenue"))
 
 
