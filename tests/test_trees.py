@@ -89,7 +89,7 @@ def no_spark_models(monkeypatch):
         monkeypatch.setattr(getattr(modelling, name), "fit", lambda *_: pytest.fail("fitted by pyspark.ml"))
 
 
-@pytest.mark.parametrize("name", ["best_params", "fold_scores", "forecast_leaderboard", "stacking_forecast", "revenue_curve", "booking_model", "optimal_prices"])
+@pytest.mark.parametrize("name", ["best_params", "fold_scores", "forecast_leaderboard", "stacking_forecast", "revenue_curve", "booking_model", "optimal_prices", "feature_importance"])
 def test_whole_job(spark, data, monkeypatch, name):
     no_spark_models(monkeypatch)
     BOUNDS[name](statistics.QUERIES[name](spark, data).toPandas())
