@@ -1,9 +1,15 @@
 """Trees in NumPy against brute force, lines against their definition, and that the model queries fit whole grids with them."""
 
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 from test_queries import BOUNDS
 
+from tidemark import session
 from tidemark.operators import fitting, modelling
 from tidemark.operators import trees as tr
 from tidemark.plans import statistics
@@ -93,3 +99,59 @@ def no_spark_models(monkeypatch):
 def test_whole_job(spark, data, monkeypatch, name):
     no_spark_models(monkeypatch)
     BOUNDS[name](statistics.QUERIES[name](spark, data).toPandas())
+
+
+@pytest.mark.parametrize("weighted", [False, True])
+def test_columns_counted_at_once_give_the_same_tree(monkeypatch, weighted):
+    _, _, y, data = made(4000)
+    rnd = np.random.default_rng(1)
+    w = rnd.poisson(1.0, len(y)) * np.where(y > 1, 0.3, 2.1) if weighted else None
+    grown = lambda: tr.grow(data, y, w, 8, 1e-12 if weighted else 2, 4, np.random.default_rng(5))
+    at_once, groups = grown(), tr._groups
+    assert any(len(g) > 1 for g in groups(data.sizes, len(y) // 8))
+    monkeypatch.setattr(tr, "_groups", lambda sizes, room: groups(sizes, 0))
+    assert np.allclose(at_once.predict(data, [8])[8], grown().predict(data, [8])[8])
+
+
+def test_task_holds_bins_of_a_byte(tmp_path):
+    n, rnd = 200_000, np.random.default_rng(0)
+    table = {f"n{k}": rnd.normal(size=n) for k in range(6)} | {f"c{k}": rnd.integers(0, 9, n).astype(np.int32) for k in range(2)} | {"y": rnd.normal(size=n), "block": rnd.integers(0, 6, n).astype(np.int32)}
+    pq.write_table(pa.table(table), tmp_path / "rows.parquet")
+    tracemalloc.start()
+    rows = fitting.Rows(str(tmp_path), "block", 5, [9, 9])
+    own, held = rows.binned()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert own.cells.dtype == np.uint8 and own.cells.shape[1] + held.cells.shape[1] == n and peak < 70 * n
+    at = table["block"] < 5
+    whole = tr.binned([table[f"n{k}"][~at] for k in range(6)], [table[f"c{k}"][~at] for k in range(2)], [tr.edges_of(table[f"n{k}"][at]) for k in range(6)], [9, 9])
+    assert (held.cells == whole.cells).all() and (rows.y == table["y"][at]).all()
+
+
+def test_curve_is_not_kept_and_holds_the_best_prices(spark, data):
+    curve = statistics.revenue_curve(spark, data).toPandas()
+    best = statistics.optimal_prices(spark, data).toPandas().sort_values("id", ignore_index=True)
+    assert all(spark.read.parquet(p).count() < len(curve) / 2 for k, p in session._stored.items() if k[0] == spark.sparkContext.applicationId and k[1].startswith(("booking", "revenue")))
+    want = curve.sort_values(["id", "revenue", "price"], ascending=[True, False, True]).groupby("id", as_index=False).first()
+    assert (best[want.columns] == want).all(axis=None)
+    assert 0 < best.price.nunique() and (curve.revenue == curve.price * curve.chance).all()
+
+
+def test_chances_by_bins_are_those_of_the_points(spark, data):
+    forest, labels, held, _ = statistics._booking(spark, data)
+    kinds = [len(v) for v in labels]
+    rows = held.select(F.monotonically_increasing_id().alias("id"), *statistics._booking_inputs()).limit(200).localCheckpoint()
+    want = {r.id: r.p for r in fitting.forest_chance(rows, forest, kinds, 30, "p").collect()}
+    limits = fitting.forest_edges(spark.read.parquet(forest))[0]
+    by_bin = fitting.with_chances(rows.withColumn("ratio", F.col("n0")).drop("n0"), forest, kinds, 30, "chances")
+    got = {r.id: r.p for r in by_bin.select("id", F.element_at("chances", fitting.bin_of(F.col("ratio"), limits) + 1).alias("p")).collect()}
+    assert got == pytest.approx(want)
+
+
+def test_best_of_grids_in_blocks(spark):
+    rows = spark.createDataFrame([(1, 100.0, 120.0, [0.9, 0.4, 0.1]), (2, 30.0, 30.0, [0.0, 0.0, 0.0]), (3, 900.0, 500.0, [0.5, 0.5, 0.5]), (4, 1000.0, 900.0, [0.8, 0.4, 0.2])], "id bigint, base double, usual double, chances array<double>")
+    limits = [0.8, 1.25]
+    points = modelling.price_curve(rows, "base", "usual").withColumn("chance", F.element_at("chances", fitting.bin_of(F.col("price_ratio"), limits) + 1))
+    want = {tuple(r) for r in modelling.best_prices(points, ["id", "base"]).collect()}
+    for block in (1, 7, 1_000_000):
+        assert {tuple(r) for r in fitting.best_of_grids(rows, limits, block=block).collect()} == want

@@ -9,11 +9,12 @@ from __future__ import annotations
 import pickle
 from collections.abc import Iterator, Sequence
 from functools import reduce
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import trees as tr
@@ -38,25 +39,54 @@ def named(setting: dict) -> str:
 
 
 class Rows:
-    """Training and held-out rows of a fold, binned by the training rows."""
-
-    def __init__(self, table: dict[str, np.ndarray], train: np.ndarray, held: np.ndarray, kinds: Sequence[int]) -> None:
-        self.numbers = [table[c] for c in sorted(table) if c[0] == "n"]
-        self.codes = [table[c] for c in sorted(table) if c[0] == "c"]
-        self.kinds, self.y = list(kinds), table["y"][train]
-        self.train = [[v[train] for v in self.numbers], [v[train] for v in self.codes]]
-        self.held = [[v[held] for v in self.numbers], [v[held] for v in self.codes]]
-
-    def binned(self) -> tuple[tr.Binned, tr.Binned]:
-        self.edges = [tr.edges_of(v) for v in self.train[0]]
-        return tuple(tr.binned(*side, self.edges, self.kinds) for side in (self.train, self.held))
+    """Training and held-out rows of a fold, read a column at a time and binned by the training rows."""
+
+    def __init__(self, path: str, column: str, fold: int, kinds: Sequence[int]) -> None:
+        self.path, self.kinds, self.inputs = path, list(kinds), _inputs(path)
+        self.train, self.held = _sides(self._read(column), column, fold)
+        self.y = self._read("y")[self.train]
+
+    def _read(self, column: str) -> np.ndarray:
+        return tr.read_rows(self.path, [column])[column]
+
+    def raw(self) -> list[list[list[np.ndarray]]]:
+        """Of the training and the held-out rows the numbers and the codes."""
+        sides = [[[], []], [[], []]]
+        for c in self.inputs:
+            values = self._read(c)
+            for side, on in zip(sides, (self.train, self.held), strict=True):
+                side[c[0] == "c"].append(values[on])
+        return sides
+
+    def binned(self, held: bool = True) -> tuple[tr.Binned, tr.Binned]:
+        """The training rows and, if asked for, those held out; ``edges`` are kept."""
+        self.edges, cells = [], []
+        sides = (self.train, self.held) if held else (self.train,)
+        for c in self.inputs:
+            values = self._read(c)
+            if c[0] == "n":
+                self.edges.append(tr.edges_of(values[self.train]))
+                one = [tr.binned([values[on]], [], self.edges[-1:], []) for on in sides]
+            else:
+                one = [tr.binned([], [values[on]], [], [self.kinds[int(c[1:])]]) for on in sides]
+            cells.append([x.cells for x in one])
+        out = []
+        for k, on in enumerate(sides):
+            whole = tr.empty(self.edges, self.kinds, int(on.sum()))
+            for c, of in enumerate(cells):
+                whole.cells[c] = of[k][0]
+                of[k] = None
+            out.append(whole)
+        return (*out, None)[:2]
 
     def fitted(self, model: str, settings: Sequence[dict], trees: Sequence[int]) -> Iterator[tuple[dict, np.ndarray]]:
         """Each setting of a model with its predictions for the held-out rows; of a forest the sums over ``trees``."""
         if model in ("linear", "ridge", "lasso"):
-            linear = tr.Linear(*self.train, self.kinds, self.y)
+            train, held = self.raw()
+            linear = tr.Linear(*train, self.kinds, self.y)
+            del train
             for s in settings:
-                yield s, linear.predict(linear.fit(**({model: s["alpha"]} if s else {})), *self.held)
+                yield s, linear.predict(linear.fit(**({model: s["alpha"]} if s else {})), *held)
             return
         own, held = self.binned()
         if model == "tree":
@@ -77,10 +107,9 @@ class Rows:
                 yield from (({"rounds": r, "step": step, "depth": depth}, v) for r, v in tr.boosted(own, self.y, held, rounds, step, depth).items())
 
 
-def _sides(table: dict[str, np.ndarray], column: str, fold: int) -> tuple[np.ndarray, np.ndarray]:
+def _sides(at: np.ndarray, column: str, fold: int) -> tuple[np.ndarray, np.ndarray]:
     """Training and held-out rows: of the search the blocks before and the block, of the stack the other parts and the part; of
     fold -1 all training rows and the test rows."""
-    at = table[column]
     if fold < 0:
         return at >= 0, at < 0
     return ((at < fold) & (at >= 0) if column == "block" else (at != fold) & (at >= 0)), at == fold
@@ -118,9 +147,7 @@ def predicted(spark: SparkSession, path: str, kinds: Sequence[int], tasks: Seque
 
     def work(task):
         column, fold, model, settings, trees = task
-        table = tr.read_rows(path, ["y", column, *_inputs(path)])
-        rows = Rows(table, *_sides(table, column, fold), kinds)
-        del table
+        rows = Rows(path, column, fold, kinds)
         for s, v in rows.fitted(model, settings, trees):
             yield pa.RecordBatch.from_pylist([{"model": model, "params": named(s), "fold": fold, "chunk": trees[0], "n": len(v), "pred": v.astype("<f8").tobytes()}], schema=pa.schema([("model", pa.string()), ("params", pa.string()), ("fold", pa.int32()), ("chunk", pa.int32()), ("n", pa.int64()), ("pred", pa.binary())]))
 
@@ -128,7 +155,8 @@ def predicted(spark: SparkSession, path: str, kinds: Sequence[int], tasks: Seque
 
 
 def _inputs(path: str) -> list[str]:
-    return [c for c in tr.stored(path).schema.names if c[0] in "nc" and c[1:].isdigit()]
+    """Numbers, then codes."""
+    return sorted((c for c in tr.stored(path).schema.names if c[0] in "nc" and c[1:].isdigit()), key=lambda c: (c[0] == "c", int(c[1:])))
 
 
 def _joined(frame: pd.DataFrame) -> np.ndarray:
@@ -156,9 +184,12 @@ def stacked(spark: SparkSession, path: str, kinds: Sequence[int], tuned: dict[st
     chosen = {m: [s] for m, s in tuned.items()}
     tasks = _tasks("part", [-1], chosen) + _tasks("part", range(folds), {m: chosen[m] for m in bases})
 
+    def joined(frame: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"model": frame["model"].iloc[:1], "fold": frame["fold"].iloc[:1], "pred": [_joined(frame).tobytes()]})
+
     def combine(frame: pd.DataFrame) -> pd.DataFrame:
         table = tr.read_rows(path, ["y", "amount", "part"])
-        found = {key: _joined(rows) for key, rows in frame.groupby(["model", "fold"])}
+        found = {(m, k): np.frombuffer(v, "<f8") for m, k, v in frame[["model", "fold", "pred"]].itertuples(index=False)}
         x, y, part = np.zeros((len(table["y"]), len(bases))), table["y"], table["part"]
         for k in range(folds):
             x[part == k] = np.column_stack([found[m, k] for m in bases])
@@ -172,7 +203,8 @@ def stacked(spark: SparkSession, path: str, kinds: Sequence[int], tuned: dict[st
         actual = table["amount"][part < 0]
         return pd.concat([pd.DataFrame({"model": m, "amount": actual, "predicted": np.exp(v)}) for m, v in logs.items()])
 
-    return predicted(spark, path, kinds, tasks).groupBy().applyInPandas(combine, "model string, amount double, predicted double")
+    fits = predicted(spark, path, kinds, tasks).groupBy("model", "fold").applyInPandas(joined, "model string, fold int, pred binary")
+    return fits.groupBy().applyInPandas(combine, "model string, amount double, predicted double")
 
 
 def forest_importances(spark: SparkSession, path: str, kinds: Sequence[int], trees: int = 100, depth: int = 20) -> DataFrame:
@@ -180,9 +212,8 @@ def forest_importances(spark: SparkSession, path: str, kinds: Sequence[int], tre
     tasks = [("part", -1, "forest", [], list(range(k, k + CHUNK))) for k in range(0, trees, CHUNK)]
 
     def work(task):
-        table = tr.read_rows(path, ["y", "part", *_inputs(path)])
-        rows = Rows(table, *_sides(table, "part", -1), kinds)
-        own, _ = rows.binned()
+        rows = Rows(path, "part", -1, kinds)
+        own, _ = rows.binned(held=False)
         share = reduce(np.add, (tr.importances(t, own) for t in tr.bagged(own, rows.y, task[4], depth)))
         yield pa.RecordBatch.from_arrays([pa.array(range(len(share)), pa.int32()), pa.array(share / trees)], names=["input", "importance"])
 
@@ -191,23 +222,26 @@ def forest_importances(spark: SparkSession, path: str, kinds: Sequence[int], tre
 
 
 def grow_forest(spark: SparkSession, path: str, kinds: Sequence[int], trees: int, depth: int, seed: int = 42, per_task: int = 2) -> DataFrame:
-    """tree, nodes (binary): a classifier of ``y`` (0 or 1, weighted by ``weight``), each node split by one of the root of the number
-    of inputs. No tree reaches the driver."""
+    """tree, edges, nodes (binary): a classifier of ``y`` (0 or 1, weighted by ``weight``), each node split by one of the root of
+    the number of inputs. ``edges`` are the limits of the numbers' bins, the same for all trees. No tree reaches the driver."""
     tasks = [list(range(k, min(k + per_task, trees))) for k in range(0, trees, per_task)]
+    schema = pa.schema([("tree", pa.int32()), ("edges", pa.list_(pa.list_(pa.float64()))), ("nodes", pa.binary())])
 
     def work(task):
-        table = tr.read_rows(path, ["y", "weight", *_inputs(path)])
-        n = [table[c] for c in sorted(table) if c[0] == "n"]
-        edges = [tr.edges_of(v) for v in n]
-        own = tr.binned(n, [table[c] for c in sorted(table) if c[0] == "c"], edges, kinds)
-        y, weight = table["y"], table["weight"]
-        del table, n
+        rows = Rows(path, "y", -1, kinds)
+        own, _ = rows.binned(held=False)
+        weight = tr.read_rows(path, ["weight"])["weight"][rows.train]
         some = int(np.ceil(np.sqrt(own.inputs)))
-        for t, tree in zip(task, tr.bagged(own, y, task, depth, seed, weight, some), strict=True):
-            nodes = pickle.dumps((edges, tree.column.astype(np.int8), tree.split.astype(np.uint16), tree.left, tree.value))
-            yield pa.RecordBatch.from_arrays([pa.array([t], pa.int32()), pa.array([nodes], pa.binary())], names=["tree", "nodes"])
+        for t, tree in zip(task, tr.bagged(own, rows.y, task, depth, seed, weight, some), strict=True):
+            nodes = pickle.dumps((tree.column.astype(np.int8), tree.split.astype(np.uint16), tree.left, tree.value))
+            yield pa.RecordBatch.from_pylist([{"tree": t, "edges": [e.tolist() for e in rows.edges], "nodes": nodes}], schema=schema)
 
-    return _each(spark, tasks, work, "tree int, nodes binary")
+    return _each(spark, tasks, work, "tree int, edges array<array<double>>, nodes binary")
+
+
+def forest_edges(forest: DataFrame) -> list[list[float]]:
+    """The limits of the bins of the numbers of a stored forest."""
+    return [list(e) for e in forest.select("edges").first()[0]]
 
 
 def forest_chance(df: DataFrame, path: str, kinds: Sequence[int], depth: int, out: str, block: int = 1_000_000) -> DataFrame:
@@ -215,16 +249,17 @@ def forest_chance(df: DataFrame, path: str, kinds: Sequence[int], depth: int, ou
 
     Blocks of rows of a partition go through one tree after the other, rows of equal bins once; a task holds one tree at a time.
     """
-    inputs = sorted(c for c in df.columns if c[0] in "nc" and c[1:].isdigit())
+    inputs = sorted((c for c in df.columns if c[0] in "nc" and c[1:].isdigit()), key=lambda c: (c[0] == "c", int(c[1:])))
     kept = [f for f in df.schema if f.name not in inputs]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + f", `{out}` double"
 
     def chance(table: pa.Table) -> np.ndarray:
         sums, count, data, back = None, 0, None, None
-        for batch in tr.stored(path).to_batches(columns=["nodes"], batch_size=1, batch_readahead=1, fragment_readahead=1):
-            for nodes in batch.column(0):
-                edges, column, split, left, value = pickle.loads(nodes.as_py())
+        for batch in tr.stored(path).to_batches(columns=["edges", "nodes"], batch_size=1, batch_readahead=1, fragment_readahead=1):
+            for edges, nodes in zip(*batch.columns, strict=True):
+                column, split, left, value = pickle.loads(nodes.as_py())
                 if data is None:
+                    edges = [np.array(e) for e in edges.as_py()]
                     full = tr.binned([table[c].to_numpy() for c in inputs if c[0] == "n"], [table[c].to_numpy() for c in inputs if c[0] == "c"], edges, kinds)
                     key = np.zeros(full.cells.shape[1], np.int64)
                     for c, size in enumerate(full.sizes):
@@ -252,3 +287,59 @@ def forest_chance(df: DataFrame, path: str, kinds: Sequence[int], depth: int, ou
         yield from table.select([f.name for f in kept]).append_column(out, pa.array(chance(table))).to_batches(max_chunksize=10_000)
 
     return df.mapInArrow(run, schema)
+
+
+def bin_of(value: Column, limits: Sequence[float]) -> Column:
+    """The place of a value's bin, from 0: how many limits are below it."""
+    return reduce(lambda a, b: a + b, [(value > e).cast("int") for e in limits], F.lit(0))
+
+
+def with_chances(df: DataFrame, path: str, kinds: Sequence[int], depth: int, out: str) -> DataFrame:
+    """``df`` with ``out``: the chances by a stored forest at each bin of n0, in order, from its columns n1..., c0..., which are left out.
+
+    So any number of values of n0 are scored by their bins, and rows of equal bins in the other columns once.
+    """
+    edges = forest_edges(df.sparkSession.read.parquet(path))
+    # A value of each bin: its upper limit, which belongs to it, and one above the last.
+    values = [[*e, e[-1] + 1.0 if e else 0.0] for e in edges]
+    names = sorted(c for c in df.columns if c[0] in "nc" and c[1:].isdigit())
+    keyed = df.select("*", *[(bin_of(F.col(c), edges[int(c[1:])]) if c[0] == "n" else F.col(c)).alias(f"_b{c}") for c in names]).drop(*names)
+    keys = [f"_b{c}" for c in names]
+    value = lambda k, at: F.element_at(F.array(*map(F.lit, values[k])), at + 1)
+    points = keyed.select(*keys).distinct().select("*", F.posexplode(F.array(*map(F.lit, values[0]))).alias("_bin", "n0"))
+    # So few rows would else be one task's.
+    spread = points.repartition(max(12, df.sparkSession.sparkContext.defaultParallelism), *keys, "_bin")
+    inputs = spread.select("*", *[(value(int(c[1:]), F.col(f"_b{c}")) if c[0] == "n" else F.col(f"_b{c}")).alias(c) for c in names])
+    scored = forest_chance(inputs, path, kinds, depth, "_chance")
+    lists = scored.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_bin", "_chance"))).alias("_list"))
+    return keyed.join(lists.select(*keys, F.transform("_list", lambda x: x["_chance"]).alias(out)), keys).drop(*keys)
+
+
+def best_of_grids(df: DataFrame, limits: Sequence[float], step: float = 50.0, low: float = 0.5, high: float = 2.0, block: int = 1_000_000) -> DataFrame:
+    """Of each row (id, base, usual, chances) the point of its price grid with the highest revenue, the lowest price among ties: id,
+    base, price, chance, revenue. The points are those of ``modelling.price_curve``; no point leaves the task."""
+    edges = np.array(limits)
+
+    def best(base: np.ndarray, usual: np.ndarray, many: np.ndarray, chances: np.ndarray) -> tuple[np.ndarray, ...]:
+        begin = np.concatenate([[0], np.cumsum(many)[:-1]])
+        row = np.repeat(np.arange(len(many)), many)
+        price = (base * low)[row] + (np.arange(len(row)) - begin[row]) * step
+        chance = chances[row, np.searchsorted(edges, price / usual[row], side="left")]
+        revenue = price * chance
+        top = np.flatnonzero(revenue == np.maximum.reduceat(revenue, begin)[row])
+        first = top[np.unique(row[top], return_index=True)[1]]
+        return price[first], chance[first], revenue[first]
+
+    def run(batches):
+        for batch in batches:
+            base, usual = (batch.column(c).to_numpy() for c in ("base", "usual"))
+            if not len(base):
+                continue
+            chances = batch.column("chances").flatten().to_numpy().reshape(len(base), len(edges) + 1)
+            many = np.floor((base * high - base * low) / step + 1e-9).astype(np.int64) + 1
+            part = np.cumsum(many) // block
+            found = [best(base[a:b], usual[a:b], many[a:b], chances[a:b]) for a, b in pairwise([*np.unique(part, return_index=True)[1], len(base)])]
+            price, chance, revenue = map(np.concatenate, zip(*found, strict=True))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("base"), *map(pa.array, (price, chance, revenue))], names=["id", "base", "price", "chance", "revenue"])
+
+    return df.select("id", "base", "usual", "chances").mapInArrow(run, "id bigint, base double, price double, chance double, revenue double")

@@ -231,13 +231,17 @@ def pick_best(prices: Column, chances: Column) -> Column:
     return F.struct(best["price"].alias("price"), best["chance"].alias("chance"), best["expected"].alias("expected"))
 
 
+def with_prices(rows: DataFrame, base: str, usual: str) -> DataFrame:
+    """Rows whose base and usual price are positive finite numbers."""
+    return rows.where(is_finite(F.col(base)) & is_finite(F.col(usual)) & (F.col(base) > 0) & (F.col(usual) > 0))
+
+
 def price_curve(rows: DataFrame, base: str, usual: str, step: float = 50.0, low: float = 0.5, high: float = 2.0) -> DataFrame:
     """Each row with every price of its grid from ``low`` to ``high`` times ``base``: price, and price_ratio to ``usual``.
 
     Rows whose base or usual price is no positive finite number have no curve.
     """
-    sound = rows.where(is_finite(F.col(base)) & is_finite(F.col(usual)) & (F.col(base) > 0) & (F.col(usual) > 0))
-    points = sound.withColumn("price", F.explode(value_grid(F.col(base) * low, F.col(base) * high, step)))
+    points = with_prices(rows, base, usual).withColumn("price", F.explode(value_grid(F.col(base) * low, F.col(base) * high, step)))
     return points.withColumn("price_ratio", F.col("price") / F.col(usual))
 
 

@@ -247,7 +247,8 @@ def _nights(spark, d):
     """Nights of the calendar with their listing: what is known of a booking before it is made, and label (1 where booked)."""
     listings = load(spark, d, "listings").where("id is not null").groupBy("id").agg(F.max_by(F.struct("room_type", "neighbourhood_cleansed", "accommodates", "number_of_reviews", "minimum_nights", "price"), F.struct("last_scraped", "row_id")).alias("l")).select("id", "l.*")
     priced = listings.select("*", F.explode(F.array(amount(F.col("price")))).alias("base")).where("base > 0").drop("price")
-    priced = with_group_median(priced, ["neighbourhood_cleansed", "room_type"], "base", "median").withColumn("usual", F.coalesce("median", "base")).drop("median")
+    # Nights, their weights and the curves all read the listings.
+    priced = cut(with_group_median(priced, ["neighbourhood_cleansed", "room_type"], "base", "median").withColumn("usual", F.coalesce("median", "base")).drop("median"))
     nights = load(spark, d, "calendar").select("listing_id", F.coalesce(F.try_to_date("calendar_date", "yyyy-MM-dd"), F.try_to_date("calendar_date", "dd/MM/yyyy")).alias("night"), (F.col("available") == "f").cast("double").alias("label")).where("night is not null and label is not null")
     rows = nights.join(priced, nights.listing_id == priced.id).drop("listing_id")
     return rows.select("*", *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"x_{c}") for c in ("accommodates", "number_of_reviews", "minimum_nights")], (F.col("base") / F.col("usual")).alias("price_ratio"), *[c.cast("double").alias(f"x_{n}") for n, c in calendar_parts(F.col("night")).items() if n != "year"]), priced
@@ -274,8 +275,8 @@ def _booking(spark, d):
     return _fitted[key]
 
 
-def _booking_inputs():
-    return [F.col(c).cast("double").alias(f"n{k}") for k, c in enumerate(_BOOKING)] + [F.col("room_type__i").alias("c0")]
+def _booking_inputs(of=_BOOKING):
+    return [F.col(c).cast("double").alias(f"n{k}") for k, c in enumerate(_BOOKING) if c in of] + [F.col("room_type__i").alias("c0")]
 
 
 def _chance(rows, forest, labels, out):
@@ -287,28 +288,26 @@ def booking_model(spark, d):
     return st.rank_auc(_chance(held.select("label", *_booking_inputs()), forest, labels, "p1"), F.col("label"), F.round("p1", 9))
 
 
-def _scored_curve(spark, d):
+def _priced(spark, d):
+    """The listings (id, base, usual) with their chances of a booking on one given day by bins of the price ratio, and the limits of these bins."""
     forest, labels, _, priced = _booking(spark, d)
     day = F.to_date(F.lit("2026-12-24"))
     rows = priced.select("id", "room_type", "base", "usual", *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"x_{c}") for c in ("accommodates", "number_of_reviews", "minimum_nights")], *[c.cast("double").alias(f"x_{n}") for n, c in calendar_parts(day).items() if n != "year"])
-    points, _ = ml.coded(ml.price_curve(rows, "base", "usual"), ["room_type"], labels)
-    scored = _chance(points.select("id", "base", "price", *_booking_inputs()), forest, labels, "chance")
-    return scored.select("id", "base", "price", "chance", (F.col("price") * F.col("chance")).alias("revenue"))
-
-
-def _curve(spark, d):
-    """The curves of all listings, scored and written when a query of the session first asks for them."""
-    return spark.read.parquet(stored_once(spark, ("revenue curve", d), lambda to: _scored_curve(spark, d).write.parquet(to)))
+    coded, _ = ml.coded(ml.with_prices(rows, "base", "usual"), ["room_type"], labels)
+    inputs = coded.select("id", "base", "usual", *_booking_inputs(coded.columns))
+    return fit.with_chances(inputs, forest, [len(v) for v in labels], 30, "chances"), fit.forest_edges(spark.read.parquet(forest))[0]
 
 
 def revenue_curve(spark, d):
     """Of every listing and price of its grid the chance of a booking on one given day, by the classifier, and the revenue expected."""
-    return _curve(spark, d)
+    rows, limits = _priced(spark, d)
+    scored = ml.price_curve(rows, "base", "usual").select("id", "base", "price", F.element_at("chances", fit.bin_of(F.col("price_ratio"), limits) + 1).alias("chance"))
+    return scored.select("*", (F.col("price") * F.col("chance")).alias("revenue"))
 
 
 def optimal_prices(spark, d):
     """Of every listing the price with the highest revenue expected on that day."""
-    return ml.best_prices(_curve(spark, d), ["id", "base"])
+    return fit.best_of_grids(*_priced(spark, d))
 
 
 QUERIES = {
