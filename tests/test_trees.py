@@ -113,6 +113,38 @@ def test_columns_counted_at_once_give_the_same_tree(monkeypatch, weighted):
     assert np.allclose(at_once.predict(data, [8])[8], grown().predict(data, [8])[8])
 
 
+@pytest.mark.parametrize("weights", ["none", "drawn", "fractions", "unlike"])
+@pytest.mark.parametrize("some", [0, 3])
+def test_large_nodes_are_counted_by_the_smaller_child(monkeypatch, weights, some):
+    """The same trees as by counting all rows of each level, in fewer counts of rows."""
+    y, n, rnd = made(6000)[2], 6000, np.random.default_rng(1)
+    w = {"none": None, "drawn": rnd.poisson(1.0, n), "fractions": rnd.poisson(1.0, n) * np.where(y > 1, 0.3, 2.1), "unlike": np.where(y > 1, 1e-12, 1.0) * rnd.integers(1, 9, n)}[weights]
+    w = None if w is None else w.astype(float)
+    grown = lambda reached: tr.grow(made(n)[3], y, w, 7, 1e-13 if weights == "unlike" else 1.0, some, np.random.default_rng(5), reached)
+    one, two = np.full((2, n), -1)
+    together = grown(one)
+    rows = []
+    counted = tr._counted
+    monkeypatch.setattr(tr, "_counted", lambda data, nodes, *rest: rows.append(sum(map(len, nodes))) or counted(data, nodes, *rest))
+    monkeypatch.setattr(tr, "LARGE", 200)
+    alone = grown(two)
+    assert len(rows) > 3 and (weights == "unlike" or sum(rows[1:]) <= n / 2 * (len(rows) - 1))
+    assert (one == two).all() and all(np.allclose(getattr(together, f), getattr(alone, f)) for f in ("column", "split", "left", "value", "gain"))
+    data = made(n)[3]
+    shown = alone.predict(data, [2, 7])
+    monkeypatch.setattr(tr, "LARGE", 4 * n)
+    assert all((shown[d] == v).all() for d, v in alone.predict(data, [2, 7]).items())
+
+
+def test_labels_that_are_all_equal_are_one_leaf(monkeypatch):
+    monkeypatch.setattr(tr, "LARGE", 200)
+    _, _, y, data = made(4000)
+    reached = np.full(4000, -1)
+    assert len(tr.grow(data, np.full(4000, 0.1), None, 5, reached=reached).value) == 1 and not reached.any()
+    ends = tr.grow(data, y, None, 2, 1500, reached=reached)
+    assert np.allclose(ends.value[reached], ends.predict(data, [2])[2])
+
+
 def test_task_holds_bins_of_a_byte(tmp_path):
     n, rnd = 200_000, np.random.default_rng(0)
     table = {f"n{k}": rnd.normal(size=n) for k in range(6)} | {f"c{k}": rnd.integers(0, 9, n).astype(np.int32) for k in range(2)} | {"y": rnd.normal(size=n), "block": rnd.integers(0, 6, n).astype(np.int32)}
