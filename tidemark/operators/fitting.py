@@ -135,6 +135,7 @@ def _each(spark: SparkSession, tasks: Sequence[tuple], work, schema: str) -> Dat
     """``work`` of each task, one task of the cluster for each, as rows of ``schema``."""
 
     def run(batches):
+        tr.keep_freed()
         for batch in batches:
             for k in batch.column(0).to_pylist():
                 yield from work(tasks[k])
