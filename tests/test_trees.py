@@ -187,3 +187,80 @@ def test_best_of_grids_in_blocks(spark):
     want = {tuple(r) for r in modelling.best_prices(points, ["id", "base"]).collect()}
     for block in (1, 7, 1_000_000):
         assert {tuple(r) for r in fitting.best_of_grids(rows, limits, block=block).collect()} == want
+
+
+@pytest.mark.parametrize("large", [200, 4096])
+def test_merged_rows_give_the_models_of_all_rows(monkeypatch, tmp_path, large):
+    monkeypatch.setattr(tr, "LARGE", large)
+    n, rnd = 6000, np.random.default_rng(2)
+    table = {"n0": rnd.integers(0, 6, n).astype(float), "n1": rnd.integers(0, 20, n).astype(float), "c0": rnd.integers(0, 4, n).astype(np.int32), "block": rnd.integers(0, 6, n).astype(np.int32)}
+    table["y"] = table["n0"] * (table["c0"] == 1) + table["n1"] ** 2 / 99 + rnd.normal(size=n)
+    pq.write_table(pa.table(table), tmp_path / "rows.parquet")
+    grown = []
+    grow = tr.grow
+    monkeypatch.setattr(tr, "grow", lambda data, *rest, **more: grown.append(data.cells.shape[1]) or grow(data, *rest, **more))
+
+    def fits():
+        rows = fitting.Rows(str(tmp_path), "block", 5, [4])
+        tried = [("tree", {"depth": 3, "child": 1}), ("tree", {"depth": 9, "child": 10}), ("forest", {"trees": 10, "depth": 9}), ("boosting", {"rounds": 5, "step": 0.1, "depth": 4})]
+        return [v for m, s in tried for _, v in rows.fitted(m, [s], list(range(10)))]
+
+    few = fits()
+    at_once = len(grown)
+    assert max(grown) <= 6 * 20 * 4
+    monkeypatch.setattr(tr, "merged", lambda data: None)
+    assert all(np.allclose(a, b) for a, b in zip(few, fits(), strict=True))
+    assert min(grown[at_once:]) == (table["block"] < 5).sum()
+
+
+def test_rows_are_merged_only_where_many_are_equal():
+    _, _, _, data = made(50)
+    assert tr.merged(data, 0.0) is None
+    twice = tr.Binned(np.concatenate([data.cells, data.cells], axis=1), data.sizes, data.numbers)
+    once, of = tr.merged(twice)
+    assert (once.cells[:, of] == twice.cells).all() and once.cells.shape[1] == len(np.unique(data.cells, axis=1).T)
+    many = tr.Binned(np.tile(twice.cells, (30, 1)), data.sizes * 30, data.numbers)  # more joint bins than a number of 8 bytes has
+    assert (tr.merged(many)[0].cells[:, tr.merged(many)[1]] == many.cells).all()
+
+
+def test_a_worker_bins_the_rows_of_a_fold_once(monkeypatch, tmp_path):
+    rnd = np.random.default_rng(4)
+    pq.write_table(pa.table({"n0": rnd.normal(size=400), "y": rnd.normal(size=400), "block": rnd.integers(0, 6, 400).astype(np.int32)}), tmp_path / "rows.parquet")
+    binned, of_rows = [], fitting.Rows.binned
+    monkeypatch.setattr(fitting.Rows, "binned", lambda self, *rest: binned.append(1) or of_rows(self, *rest))
+    tasks = [t for t in fitting._tasks("block", [1, 2], {m: fitting.SETTINGS[m] for m in ("boosting", "forest", "tree")})]
+    assert [t[1] for t in tasks] == [2] * (len(tasks) // 2) + [1] * (len(tasks) // 2)
+    for column, fold, model, settings, _ in tasks[::5]:
+        list(fitting._kept(str(tmp_path), column, fold, []).fitted(model, settings[:1], [0]))
+    assert len(binned) == 2 and len(fitting._last) == 1
+
+
+def test_first_column_of_one_bin(monkeypatch):
+    monkeypatch.setattr(tr, "LARGE", 200)
+    _, _, y, data = made(4000)
+    plain = tr.grow(data, y, None, 4)
+    behind = tr.grow(tr.Binned(np.concatenate([np.zeros_like(data.cells[:1]), data.cells]), [1, *data.sizes], 1 + data.numbers), y, None, 4)
+    assert np.allclose(plain.value, behind.value)
+
+
+def test_search_scores_fits_in_their_tasks(spark, tmp_path, monkeypatch):
+    """Only sums over trees of forests leave the tasks, of each depth once; the scores are those of the predictions."""
+    n, rnd = 600, np.random.default_rng(6)
+    table = {"n0": rnd.normal(size=n), "c0": rnd.integers(0, 4, n).astype(np.int32), "block": rnd.integers(0, 4, n).astype(np.int32)}
+    table["y"] = table["n0"] + (table["c0"] == 1) + rnd.normal(size=n)
+    table["amount"] = np.exp(table["y"])
+    pq.write_table(pa.table(table), tmp_path / "rows.parquet")
+    tried = {"ridge": [{"alpha": 1.0}], "tree": [{"depth": d, "child": 5} for d in (2, 5)], "forest": [{"trees": t, "depth": d} for t in (10, 20) for d in (2, 5)], "boosting": [{"rounds": r, "step": 0.1, "depth": 2} for r in (3, 6)]}
+    left, each = [], fitting._each
+    monkeypatch.setattr(fitting, "_each", lambda *args: left.append(each(*args).localCheckpoint()) or left[0])
+    got = {(r.model, r.params, r.fold): r.rmse for r in fitting.search(spark, str(tmp_path), [4], 3, tried).collect()}
+    assert {(r.model, r.n) for r in left[0].where("pred is not null").groupBy("model").agg(F.count("*").alias("n")).collect()} == {("forest", 2 * 2 * 3)}
+    want = {}
+    for fold in (1, 2, 3):
+        rows = fitting.Rows(str(tmp_path), "block", fold, [4])
+        for model, settings in tried.items():
+            for s in settings:
+                trees = s.get("trees", 1)
+                logs = next(v for _, v in rows.fitted(model, [s], list(range(trees)))) / trees
+                want[model, fitting.named(s), fold] = np.sqrt(np.mean((np.exp(logs) - table["amount"][table["block"] == fold]) ** 2))
+    assert got == pytest.approx(want)

@@ -45,6 +45,7 @@ class Rows:
         self.path, self.kinds, self.inputs = path, list(kinds), _inputs(path)
         self.train, self.held = _sides(self._read(column), column, fold)
         self.y = self._read("y")[self.train]
+        self.bins: tuple | None = None
 
     def _read(self, column: str) -> np.ndarray:
         return tr.read_rows(self.path, [column])[column]
@@ -88,23 +89,38 @@ class Rows:
             for s in settings:
                 yield s, linear.predict(linear.fit(**({model: s["alpha"]} if s else {})), *held)
             return
-        own, held = self.binned()
+        if self.bins is None:
+            own, held = self.binned()
+            self.bins = (*(tr.merged(own) or (own, None)), held)
+        own, of, held = self.bins
         if model == "tree":
+            y, w = (self.y, None) if of is None else tr.summed(of, own.cells.shape[1], self.y, None)
             for child in sorted({s["child"] for s in settings}):
                 depths = [s["depth"] for s in settings if s["child"] == child]
-                out = tr.grow(own, self.y, None, max(depths), child).predict(held, depths)
+                out = tr.grow(own, y, w, max(depths), child).predict(held, depths)
                 yield from (({"depth": d, "child": child}, out[d]) for d in depths)
         elif model == "forest":
             depths = sorted({s["depth"] for s in settings})
             sums = {d: np.zeros(held.cells.shape[1]) for d in depths}
-            for tree in tr.bagged(own, self.y, trees, max(depths)):
+            for tree in tr.bagged(own, self.y, trees, max(depths), of=of):
                 for d, v in tree.predict(held, depths).items():
                     sums[d] += v
             yield from ((s, sums[s["depth"]]) for s in settings if trees[0] < s["trees"])
         else:
             for step, depth in sorted({(s["step"], s["depth"]) for s in settings}):
                 rounds = [s["rounds"] for s in settings if (s["step"], s["depth"]) == (step, depth)]
-                yield from (({"rounds": r, "step": step, "depth": depth}, v) for r, v in tr.boosted(own, self.y, held, rounds, step, depth).items())
+                yield from (({"rounds": r, "step": step, "depth": depth}, v) for r, v in tr.boosted(own, self.y, held, rounds, step, depth, of).items())
+
+
+#: The rows that a Python worker has read last: its next task is mostly of the same fold, and bins nothing again.
+_last: dict[tuple, Rows] = {}
+
+
+def _kept(path: str, column: str, fold: int, kinds: Sequence[int]) -> Rows:
+    if (path, column, fold) not in _last:
+        _last.clear()
+        _last[path, column, fold] = Rows(path, column, fold, kinds)
+    return _last[path, column, fold]
 
 
 def _sides(at: np.ndarray, column: str, fold: int) -> tuple[np.ndarray, np.ndarray]:
@@ -116,7 +132,8 @@ def _sides(at: np.ndarray, column: str, fold: int) -> tuple[np.ndarray, np.ndarr
 
 
 def _tasks(column: str, folds: Sequence[int], chosen: dict[str, list[dict]]) -> list[tuple]:
-    """What each task fits, the longest first."""
+    """What each task fits, fold by fold, so that workers keep its rows, of the search the folds of most rows first, and of a fold the
+    longest first; of the stack, whose folds are equal, boosting of all folds before the rest."""
     tasks = []
     for fold in folds:
         for model, settings in chosen.items():
@@ -128,7 +145,7 @@ def _tasks(column: str, folds: Sequence[int], chosen: dict[str, list[dict]]) ->
             else:
                 tasks.append((column, fold, model, settings, [0]))
     weight = {"boosting": 3, "forest": 2, "tree": 1}
-    return sorted(tasks, key=lambda t: (-weight.get(t[2], 0), -max(s.get("depth", 0) for s in t[3]), -t[1] if t[1] >= 0 else -99))
+    return sorted(tasks, key=lambda t: (column == "part" and t[2] != "boosting", -t[1], -weight.get(t[2], 0), -max(s.get("depth", 0) for s in t[3])))
 
 
 def _each(spark: SparkSession, tasks: Sequence[tuple], work, schema: str) -> DataFrame:
@@ -148,7 +165,7 @@ def predicted(spark: SparkSession, path: str, kinds: Sequence[int], tasks: Seque
 
     def work(task):
         column, fold, model, settings, trees = task
-        rows = Rows(path, column, fold, kinds)
+        rows = _kept(path, column, fold, kinds)
         for s, v in rows.fitted(model, settings, trees):
             yield pa.RecordBatch.from_pylist([{"model": model, "params": named(s), "fold": fold, "chunk": trees[0], "n": len(v), "pred": v.astype("<f8").tobytes()}], schema=pa.schema([("model", pa.string()), ("params", pa.string()), ("fold", pa.int32()), ("chunk", pa.int32()), ("n", pa.int64()), ("pred", pa.binary())]))
 
@@ -167,16 +184,38 @@ def _joined(frame: pd.DataFrame) -> np.ndarray:
 
 
 def search(spark: SparkSession, path: str, kinds: Sequence[int], folds: int = 5, settings: dict[str, list[dict]] | None = None) -> DataFrame:
-    """model, params, fold, rmse on the original scale, of every setting of every model over expanding folds."""
-    tasks = _tasks("block", range(1, folds + 1), settings or SETTINGS)
+    """model, params, fold, rmse on the original scale, of every setting of every model over expanding folds.
+
+    Fits are scored in their tasks; only of forests, whose trees come from several tasks, predictions are joined."""
+    settings = settings or SETTINGS
+    tasks = _tasks("block", range(1, folds + 1), settings)
+
+    def rmse(logs: np.ndarray, amount: np.ndarray) -> float:
+        off = np.exp(logs) - amount
+        return float(np.sqrt(np.mean(off * off))) if len(off) else np.nan
+
+    def work(task):
+        column, fold, model, chosen, trees = task
+        rows = _kept(path, column, fold, kinds)
+        amount = tr.read_rows(path, ["amount"])["amount"][rows.held]
+        forest = model == "forest"
+        if forest:  # of each depth the trees once, for forests of any number
+            chosen = [{"trees": max(s["trees"] for s in chosen), "depth": d} for d in sorted({s["depth"] for s in chosen if trees[0] < s["trees"]})]
+        for s, v in rows.fitted(model, chosen, trees):
+            row = {"model": model, "params": named({"depth": s["depth"]} if forest else s), "fold": fold, "chunk": trees[0], "pred": v.astype("<f8").tobytes() if forest else None, "rmse": None if forest else rmse(v, amount)}
+            yield pa.RecordBatch.from_pylist([row], schema=pa.schema([("model", pa.string()), ("params", pa.string()), ("fold", pa.int32()), ("chunk", pa.int32()), ("pred", pa.binary()), ("rmse", pa.float64())]))
 
     def score(frame: pd.DataFrame) -> pd.DataFrame:
-        table = tr.read_rows(path, ["amount", "block"])
         model, params, fold = (frame[c].iloc[0] for c in ("model", "params", "fold"))
-        off = np.exp(_joined(frame)) - table["amount"][table["block"] == fold]
-        return pd.DataFrame({"model": [model], "params": [params], "fold": [fold], "rmse": [np.sqrt(np.mean(off * off)) if len(off) else np.nan]})
+        if model != "forest":
+            return frame[["model", "params", "fold", "rmse"]]
+        table = tr.read_rows(path, ["amount", "block"])
+        amount = table["amount"][table["block"] == fold]
+        found = {named(s): rmse(_joined(frame[frame["chunk"] < s["trees"]]), amount) for s in settings["forest"] if named({"depth": s["depth"]}) == params}
+        return pd.DataFrame({"model": model, "params": list(found), "fold": fold, "rmse": list(found.values())})
 
-    return predicted(spark, path, kinds, tasks).groupBy("model", "params", "fold").applyInPandas(score, "model string, params string, fold int, rmse double")
+    fits = _each(spark, tasks, work, "model string, params string, fold int, chunk int, pred binary, rmse double")
+    return fits.groupBy("model", "params", "fold").applyInPandas(score, "model string, params string, fold int, rmse double")
 
 
 def stacked(spark: SparkSession, path: str, kinds: Sequence[int], tuned: dict[str, dict], folds: int, ridge: float, bases: Sequence[str] = ("forest", "boosting", "ridge")) -> DataFrame:
